@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, token_counts, token_files
+from . import bpe, lm_scoring, quality_rules, token_counts, token_files
 
 
 def _vocabulary(name: str) -> str:
@@ -21,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"), lm_scoring.held_out_by_id(F.col("doc_id"), 7, 2))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -35,7 +40,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op5_bpe, op6_token_files, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op5_bpe, op6_token_files, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
