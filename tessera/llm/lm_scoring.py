@@ -30,16 +30,14 @@ one unknown word; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
-import math
-import struct
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_for, stash, text_bytes
+from .packed import bounds, squeeze, widen
 
 BLOCK_BYTES = 8 << 20
 #: Bytes of keys, over all blocks, that one bucket adds up.
@@ -62,18 +60,6 @@ def _bigram_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x * np.uint64(MIX[0])
 
 
-def _squeeze(x: np.ndarray) -> bytes:
-    """Whole numbers, bytes of equal weight side by side, compressed."""
-    raw = x.astype("<u8").view("u1").reshape(-1, 8).T.tobytes()
-    return struct.pack("<I", len(x)) + zstandard.ZstdCompressor(level=1).compress(raw)
-
-
-def _widen(data: bytes) -> np.ndarray:
-    (n,) = struct.unpack_from("<I", data)
-    raw = zstandard.ZstdDecompressor().decompress(data[4:], max_output_size=8 * n) if n else b""
-    return np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(8, n).T).view("<u8").reshape(n)
-
-
 class Block:
     """The words and bigrams of some documents, in an order that depends on the texts alone."""
 
@@ -116,12 +102,6 @@ class Block:
         return w, a
 
 
-def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's keys begin and end in sorted keys; buckets share the key range equally."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
-
-
 class Automaton:
     """The part of the backoff automaton that a block's texts can reach."""
 
@@ -174,10 +154,10 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", key_col: st
         training = ~t.column("held_out").to_numpy()
         out = []
         for kind_, keys, counts in zip("wb", block.asked(), block.counts(training), strict=True):
-            at = _bounds(keys, buckets)
+            at = bounds(keys, buckets)
             for k in np.flatnonzero(np.diff(at)).tolist():
                 part = slice(at[k], at[k + 1])
-                out.append((k, number, kind_, _squeeze(np.diff(keys[part], prepend=np.uint64(0))), _squeeze(counts[part])))
+                out.append((k, number, kind_, squeeze(np.diff(keys[part], prepend=np.uint64(0))), squeeze(counts[part])))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), asked, strict=True)], schema=asked)
 
     asked = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.string()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -185,11 +165,11 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", key_col: st
     def answer(t: pa.Table) -> pa.Table:
         """Add up one bucket; the first row of the answer also carries the bucket's sums."""
         kind_ = t.column("kind")[0].as_py()
-        asked_keys = [np.cumsum(_widen(x.as_py()), dtype=np.uint64) for x in t.column("keys")]
+        asked_keys = [np.cumsum(widen(x.as_py()), dtype=np.uint64) for x in t.column("keys")]
         keys, which = np.unique(np.concatenate(asked_keys), return_inverse=True)
-        total = np.bincount(which, weights=np.concatenate([_widen(x.as_py()) for x in t.column("counts")]).astype(np.float64), minlength=len(keys)).astype(np.int64)
+        total = np.bincount(which, weights=np.concatenate([widen(x.as_py()) for x in t.column("counts")]).astype(np.float64), minlength=len(keys)).astype(np.int64)
         ends = np.cumsum([len(k) for k in asked_keys])
-        replies = [_squeeze(total[which[e - len(k) : e]]) for k, e in zip(asked_keys, ends, strict=True)]
+        replies = [squeeze(total[which[e - len(k) : e]]) for k, e in zip(asked_keys, ends, strict=True)]
         n = len(replies)
         seen = total[total > 0]
         sums = [int(seen.sum()), len(seen), int((seen == 1).sum())]
@@ -228,7 +208,7 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", key_col: st
         texts = left.column("text").to_pylist()
         block = Block(texts)
         kinds = right.column("kind").to_pylist()
-        replies = [_widen(x.as_py()) for x in right.column("reply")]
+        replies = [widen(x.as_py()) for x in right.column("reply")]
         words, arcs = (np.concatenate([r for r, k in zip(replies, kinds, strict=True) if k == want]).astype(np.int64) for want in "wb")
         words, arcs = block.answered(words, arcs)
         automaton = Automaton(block, words, arcs, n, v, exponent)

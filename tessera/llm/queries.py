@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm_scoring, quality_rules, token_counts, token_files
+from . import bpe, lm_scoring, ngram_jaccard, quality_rules, token_counts, token_files
 
 
 def _vocabulary(name: str) -> str:
@@ -34,13 +34,17 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.join(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op5_bpe, op6_token_files, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op5_bpe, op6_token_files, op8_ngram_jaccard, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
