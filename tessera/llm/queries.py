@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm_scoring, ngram_jaccard, quality_rules, token_counts, token_files
+from . import bpe, decontamination, lm_scoring, ngram_jaccard, quality_classifier, quality_rules, token_counts, token_files, toxicity, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -26,6 +26,15 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_table(spark, sf_dir, "documents"), lm_scoring.held_out_by_id(F.col("doc_id"), 7, 2))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.apply(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host, path = F.col("source"), F.concat_ws("/", "source", "lang")
+    return quality_classifier.apply(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), host, path)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -34,6 +43,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.join(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
@@ -43,8 +56,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lm_scoring.held_out_by_id(F.col("doc_id"), 3, 1)
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op5_bpe, op6_token_files, op8_ngram_jaccard, op9_quality_rules)}
+    return {f.__name__: f for f in (
+        op1_token_counts, op2_lm_scoring, op3_decontamination, op4_quality_classifier, op5_bpe, op6_token_files, op7_warc, op8_ngram_jaccard, op9_quality_rules, op10_toxicity,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:

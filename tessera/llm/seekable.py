@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the format.
 SKIPPABLE = 0x184D2A5E
+SKIPPABLE_INDEX = 0x184D2A5D
 SEEKABLE = struct.pack("<I", 0x8F92EAB1)
 HAS_CHECKSUMS = 0x80
 
 
-def pack(frames: list[bytes], level: int = 3) -> bytes:
-    """A file's bytes without the closing magic number."""
+def pack(frames: list[bytes], level: int = 3, index: bytes | None = None) -> bytes:
+    """A file's bytes without the closing magic number; an index goes into a skippable frame before the table."""
     z = zstandard.ZstdCompressor(level=level, write_content_size=True)
     out, table = [], []
     for raw in frames:
@@ -36,6 +37,9 @@ def pack(frames: list[bytes], level: int = 3) -> bytes:
         out.append(data)
         table.append(struct.pack("<III", len(data), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
     body = b"".join(table) + struct.pack("<IB", len(frames), HAS_CHECKSUMS)
+    if index is not None:
+        data = z.compress(index)
+        out += [struct.pack("<II", SKIPPABLE_INDEX, len(data)), data]
     return b"".join([*out, struct.pack("<II", SKIPPABLE, len(body) + len(SEEKABLE)), body])
 
 
@@ -55,6 +59,14 @@ class Reader:
             at += row[0]
         self.z = zstandard.ZstdDecompressor()
 
+    def index(self) -> bytes:
+        """The index after the last frame."""
+        at = sum(f[1] for f in self.frames)
+        magic, size = struct.unpack_from("<II", self.data, at)
+        if magic != SKIPPABLE_INDEX:
+            raise ValueError("no index")
+        return self.z.decompress(self.data[at + 8 : at + 8 + size])
+
     def __len__(self) -> int:
         return len(self.frames)
 
