@@ -161,15 +161,15 @@ def star(sigs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, tu
 
 
 def classes(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, key) of every document."""
+    """(doc_id, h, n_shingles, key) of every document; h is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = Sets(b.column(1).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.sizes, pa.int64()), pa.array(s.keys, pa.int64(), mask=s.sizes == 0)], names=["doc_id", "n_shingles", "key"])
+            s = Sets(b.column(2).to_pylist(), width)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.sizes, pa.int64()), pa.array(s.keys, pa.int64(), mask=s.sizes == 0)], names=["doc_id", "h", "n_shingles", "key"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, key long")
+    return docs.select("doc_id", "h", "text").mapInArrow(run, f"doc_id {kind}, h long, n_shingles long, key long")
 
 
 def groups(docs: DataFrame, width: int, num: int, den: int, n_bytes: int) -> DataFrame:
@@ -244,37 +244,32 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -
     return both.mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, width: int, num: int, den: int, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; sets link when den * intersection >= num * union."""
-    rows = docs.select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("text"))
+def linked(docs: DataFrame, width: int, num: int, den: int, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
+    """(doc_id, h, n_shingles, least) of every document; least is the (doc_id, h) of its component's first, null for empty sets."""
+    rows = docs.select(F.col(f"`{key_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("h", F.xxhash64("text"))
     n_bytes = text_bytes(rows)
     members = stash(classes(rows, width), "classes")
     found = stash(groups(rows, width, num, den, n_bytes), "groups")
-    first = members.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    labels = None
-    links = None
-    for step in ("hubs", "rest"):
-        if step == "hubs":
-            pairs = found.select(F.col("hub").alias("a"), F.col("other").alias("b")).distinct()
-        else:
-            pairs = _across(found, labels)
-        pairs = stash(pairs, "pairs")
-        keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        # One document of each class that is in a pair; its text is fetched by doc_id and known again by its key.
-        wanted = first.join(keys, "key")
-        texts = _texts(rows, wanted, width)
-        held = stash(verify(pairs, texts, width, num, den), "links")
-        links = held if links is None else links.union(held)
-        if step == "rest" and held.isEmpty():
-            break
-        labels = components(links)
-    named = first.join(labels, first["key"] == labels["node"], "left").select("key", "doc_id", F.coalesce("comp", "key").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.join(least, "comp").select(F.col("key").alias("__key"), "component_id")
-    return (
-        members.join(of_class, F.col("key") == F.col("__key"), "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    )
+    # Null ids last.
+    one = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))
+    first = members.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(one).alias("first"))
+    pairs = stash(found.select(F.col("hub").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
+    links = stash(verify(pairs, _texts(rows, first, pairs, width), width, num, den), "links")
+    labels = components(links)
+    rest = stash(_across(found, labels), "pairs")
+    if not rest.isEmpty():
+        more = stash(verify(rest, _texts(rows, first, rest, width), width, num, den), "links")
+        if not more.isEmpty():
+            labels = components(links.union(more))
+    named = first.join(labels, first["key"] == labels["node"], "left").select("key", "first", F.coalesce("comp", "key").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("first").alias("least"))
+    of_class = named.join(least, "comp").select(F.col("key").alias("__key"), "least")
+    return members.join(of_class, F.col("key") == F.col("__key"), "left").select("doc_id", "h", "n_shingles", "least")
+
+
+def join(docs: DataFrame, width: int, num: int, den: int, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; sets link when den * intersection >= num * union."""
+    return linked(docs, width, num, den, text_col, key_col).select("doc_id", "n_shingles", F.coalesce("least.doc_id", "doc_id").alias("component_id"))
 
 
 def _across(found: DataFrame, labels: DataFrame) -> DataFrame:
@@ -293,20 +288,24 @@ def _across(found: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(found.select(F.col("hub").alias("a"), F.col("other").alias("b")), ["a", "b"], "left_anti")
 
 
-def _texts(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(key, text) of the wanted classes (key, doc_id)."""
+def _texts(rows: DataFrame, first: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(key, text) of the classes in ``pairs``: one document of each is fetched by doc_id and known again by its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             same = pa.array(Sets(b.column(1).to_pylist(), width).keys == b.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(same), b.column(1).filter(same)], names=["key", "text"])
 
-    w = wanted.select("key", F.col("doc_id").alias("__doc"))
-    return rows.join(w, F.col("doc_id").eqNullSafe(F.col("__doc"))).select("key", "text").mapInArrow(run, "key long, text string").dropDuplicates(["key"])
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    # Written, so that its size is known when the join with the texts is planned.
+    wanted = stash(first.join(keys, "key").select("key", F.col("first.doc_id").alias("__doc"), F.col("first.h").alias("__h")), "wanted")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("h") == F.col("__h"))
+    return rows.join(wanted, same).select("key", "text").mapInArrow(run, "key long, text string").dropDuplicates(["key"])
 
 
 def keep_one(docs: DataFrame, width: int, num: int, den: int, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest; of repeated rows all, with their own columns only."""
-    kept = join(docs, width, num, den, text_col, key_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(f"`{key_col}`").eqNullSafe(F.col("__kept")), "left_semi")
+    """One document of each component (of repeated rows all that are the first), with the columns of ``docs`` only."""
+    l = linked(docs, width, num, den, text_col, key_col)  # noqa: E741
+    others = l.filter("least is not null").filter(~(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("h") == F.col("least.h"))))
+    gone = stash(others.select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h")).distinct(), "gone")
+    return docs.join(gone, F.col(f"`{key_col}`").eqNullSafe(F.col("__gone")) & (F.xxhash64(f"`{text_col}`") == F.col("__h")), "left_anti")

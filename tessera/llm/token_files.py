@@ -21,6 +21,7 @@ import functools
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from .common import parts_for, shared_dir, text_bytes
 from .pretokens import PieceCache, chunks, pieces_of, read_vocabulary, vocabulary
 
 FRAME_BYTES = 1 << 20
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
 
 
 @functools.lru_cache(maxsize=2)
@@ -42,7 +43,14 @@ def _library_cache(data: bytes) -> PieceCache:
     tok = Tokenizer.from_str(data.decode())
 
     def make(pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(pieces, add_special_tokens=False)]
+        out = []
+        for at in range(0, len(pieces), 5000):
+            part = pieces[at : at + 5000]
+            e = tok.encode(part, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(e.ids, "<u4").tobytes()
+            ends = (np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))) * 4).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
 
     return PieceCache(make)
 
@@ -52,7 +60,7 @@ def library_ids(data: bytes, texts: list[str | None]) -> Iterator[bytes]:
     v, cache = vocabulary(data), _library_cache(data)
     for chunk in chunks(texts):
         pieces = [pieces_of(t, v) for t in chunk]
-        known = cache.add({p for ps in pieces for p in ps})
+        known = cache.add(set(chain.from_iterable(pieces)))
         for ps in pieces:
             yield b"".join(map(known.__getitem__, ps))
 
@@ -123,7 +131,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, text_col: str = "tex
             yield file()
 
     rows = docs.select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = parts_for(text_bytes(rows), FILE_BYTES)
+    n = parts_for(text_bytes(rows), 2 * FILE_BYTES)
     h = F.xxhash64("text")
     dealt = rows.repartitionByRange(n, "doc_id", h).sortWithinPartitions("doc_id", h, "text")
     seekable.write_files(dealt.mapInArrow(run, "file binary"), path)
