@@ -35,16 +35,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_for, stash, text_bytes
 from .components import components
 from .packed import bounds, squeeze, widen
+from .seekable import batches_of
 
 K2, N2, SLACK = 1, 3, 2
 BAND_GROWTH = 1.5
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 3_000_000
 BUCKET_BYTES = 48 << 20
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -160,11 +162,19 @@ def star(sigs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, tu
     return s[new], k[new], (s[other], hub[other], k[other])
 
 
+def _cut(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that their text columns hold about CHUNK_CHARS bytes."""
+    for b in batches:
+        sizes = [sum(x) for x in zip(*(pc.fill_null(pc.binary_length(b.column(c)), 0).to_pylist() for c in columns), strict=True)]
+        for start, stop in batches_of(sizes, CHUNK_CHARS):
+            yield b.slice(start, stop - start)
+
+
 def classes(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, h, n_shingles, key) of every document; h is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _cut(batches, 2):
             s = Sets(b.column(2).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.sizes, pa.int64()), pa.array(s.keys, pa.int64(), mask=s.sizes == 0)], names=["doc_id", "h", "n_shingles", "key"])
 
@@ -223,7 +233,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -
     """Those of the pairs (a, b) whose texts (key, text) link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches, 2, 3):
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             # The first text of many pairs is the same: each run's is cut up once.
             run_of = np.concatenate([[0], np.cumsum(a[1:] != a[:-1])]) if len(a) else a
@@ -292,7 +302,7 @@ def _texts(rows: DataFrame, first: DataFrame, pairs: DataFrame, width: int) -> D
     """(key, text) of the classes in ``pairs``: one document of each is fetched by doc_id and known again by its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _cut(batches, 1):
             same = pa.array(Sets(b.column(1).to_pylist(), width).keys == b.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(same), b.column(1).filter(same)], names=["key", "text"])
 
