@@ -67,5 +67,30 @@ def queries() -> dict:
     )}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that SQL can express."""
+    return {
+        "op3_decontamination": f"""
+            with d as (select doc_id, {_WORDS} w from documents),
+            b as (select item_id, {_WORDS} w from benchmark),
+            win as (select distinct item_id, w[i:i + 12] p from (select item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) i from b where len(w) > 0)),
+            lens as (select distinct len(p) l from win),
+            dw as (select doc_id, i, l, w[i:i + l - 1] p from (select doc_id, w, l, unnest(range(1, len(w) - l + 2)) i from d, lens)),
+            m as (select doc_id, i, l, item_id from dw join win using (p)),
+            h as (select doc_id, count(distinct pos) n_hit from (select doc_id, unnest(range(i, i + l)) pos from m) group by 1),
+            n as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) items from m group by 1)
+            select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256,
+                   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+            from d left join h using (doc_id) left join n using (doc_id)""",
+        "op7_warc": """
+            with p as (select page_id, coalesce(html, '') h from pages),
+            f as (select page_id, h, min(page_id) over (partition by h) first from p)
+            select page_id, strlen(h)::bigint payload_bytes, sha256(h) payload_digest,
+                   case when strlen(h) >= 100 and page_id <> first then 'revisit' else 'response' end record_type,
+                   case when strlen(h) >= 100 and page_id <> first then first end refers_to
+            from f""",
+    }
