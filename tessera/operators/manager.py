@@ -448,6 +448,16 @@ class PartitionManager:
         rows = [(i, *t.split(".", 1)) for i, t in enumerate(self.children(parent, order, include_default))]
         return self.spark.createDataFrame(rows, "ordinal int, partition_schemaname string, partition_tablename string").orderBy("ordinal").drop("ordinal")
 
+    def register_sql(self) -> None:
+        """The table function ``show_partitions(parent)`` for SQL, over the registry as it is now."""
+        known = {p: [tuple(t.split(".", 1)) for t in self.children(p)] for p in self.state.sets}
+
+        class ShowPartitions:
+            def eval(self, parent: str):
+                yield from known.get(parent, [])
+
+        self.spark.udtf.register("show_partitions", F.udtf(ShowPartitions, returnType="partition_schemaname string, partition_tablename string"))
+
     def show_partition_name(self, parent: str, value) -> dict:
         """The child that a value goes to, whether it exists or not."""
         s = self._set(parent)

@@ -297,3 +297,9 @@ def test_empty_table_and_nulls(spark, m):
     m.insert("p.z", spark.createDataFrame([(None, "a"), (-7, "b"), (5, "c")], schema))
     assert m.check_default().collect()[0]["count"] == 2 and count(m, "p.z_p0") == 1
     assert m.partition_data_id("p.z") == 1 and count(m, "p.z_p-10") == 1
+
+
+def test_sql_table_function(spark, m):
+    m.create_parent("p.f", "col3", "1 day", TIME)
+    m.register_sql()
+    assert [r[1] for r in spark.sql("select * from show_partitions('p.f')").collect()] == [t.split(".")[1] for t in m.children("p.f")]
