@@ -93,4 +93,12 @@ def oracle_sql() -> dict[str, str]:
                    case when strlen(h) >= 100 and page_id <> first then 'revisit' else 'response' end record_type,
                    case when strlen(h) >= 100 and page_id <> first then first end refers_to
             from f""",
+        "op8_ngram_jaccard": f"""
+            with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') w from documents),
+            s as (select distinct doc_id, w[i:i + 2] g from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) i from d where len(w) > 0)),
+            c as (select doc_id, count(*) n from s group by 1),
+            k as (select x.doc_id a, y.doc_id b, count(*) k from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+            l as (select a, b from k join c ca on ca.doc_id = a join c cb on cb.doc_id = b where 100 * k >= 90 * (ca.n + cb.n - k)),
+            r(doc_id, comp) as (select doc_id, doc_id from d union select l.b, r.comp from r join l on l.a = r.doc_id)
+            select doc_id, coalesce(n, 0) n_shingles, component_id from (select doc_id, min(comp) component_id from r group by 1) left join c using (doc_id)""",
     }
