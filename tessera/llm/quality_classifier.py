@@ -115,8 +115,7 @@ def posteriors(scored: DataFrame) -> DataFrame:
     )
 
 
-def judge(scored: DataFrame, threshold: float) -> DataFrame:
-    sites = posteriors(scored.select("host", "path", "logit"))
+def judge(scored: DataFrame, sites: DataFrame, threshold: float) -> DataFrame:
     joined = scored.join(sites, F.col("host").eqNullSafe(F.col("__h")) & F.col("path").eqNullSafe(F.col("__p")), "left")
     z = F.col("logit") + F.coalesce("shift", F.lit(0.0))
     return joined.withColumn("posterior", 1 / (1 + F.exp(-z))).withColumn("kept", F.col("posterior") >= threshold)
@@ -126,12 +125,13 @@ def apply(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text_c
     """(doc_id, host, path, logit, site_posterior, posterior, kept) of every document; texts are read once."""
     logit = evidence(docs, labels, text_col, key_col, sample)
     scored = stash(docs.select(F.col(key_col).alias("doc_id"), host.alias("host"), path.alias("path"), logit.alias("logit")), "evidence")
-    return judge(scored, threshold).select("doc_id", "host", "path", "logit", "site_posterior", "posterior", "kept")
+    return judge(scored, posteriors(scored), threshold).select("doc_id", "host", "path", "logit", "site_posterior", "posterior", "kept")
 
 
 def keep(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text_col: str = "text", key_col: str = "doc_id", threshold: float = 0.4, sample: int = 8000) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
     logit = evidence(docs, labels, text_col, key_col, sample)
-    scored = stash(docs.select(row, host.alias("host"), path.alias("path"), logit.alias("logit")), "evidence")
-    return judge(scored, threshold).filter("kept").select("__row.*")
+    # Scored twice, for the sites and for the verdicts: that takes no disk for whole texts.
+    sites = stash(posteriors(stash(docs.select(host.alias("host"), path.alias("path"), logit.alias("logit")), "evidence")), "sites")
+    return judge(docs.select(row, host.alias("host"), path.alias("path"), logit.alias("logit")), sites, threshold).filter("kept").select("__row.*")

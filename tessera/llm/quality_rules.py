@@ -102,17 +102,21 @@ def _shares(m: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(shares: DataFrame, keys: tuple[str, str] = ("lang", "source"), fence: float = 6.0, least_docs: int = 200) -> DataFrame:
+def sketches(shares: DataFrame) -> DataFrame:
+    """A mergeable quantile sketch of each metric per (language, source)."""
+    return shares.groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("n"),
+        *(F.expr(f"kll_sketch_agg_double({m})").alias(m) for m in METRICS),
+    )
+
+
+def thresholds(by_source: DataFrame, keys: tuple[str, str] = ("lang", "source"), fence: float = 6.0, least_docs: int = 200) -> DataFrame:
     """One row per (language, source): a lower and an upper limit of each metric.
 
     Sketches are merged upwards: sources into languages into the corpus. The
     finest level with ``least_docs`` documents sets the limits.
     """
     lang, source = keys
-    by_source = shares.groupBy(lang, source).agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.expr(f"kll_sketch_agg_double({m})").alias(m) for m in METRICS),
-    )
     merged = [F.sum("n").alias("n"), *(F.expr(f"kll_merge_agg_double({m})").alias(m) for m in METRICS)]
 
     def fences(level: DataFrame, tag: str, cols: list[str]) -> DataFrame:
@@ -159,12 +163,13 @@ def apply(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", keys
     lang, source = keys
     m = metrics(docs, text_col, [F.col(key_col).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source")])
     shares = stash(_shares(m), "quality")
-    return judge(shares, thresholds(shares))
+    return judge(shares, thresholds(sketches(shares)))
 
 
 def keep(docs: DataFrame, text_col: str = "text", keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only, whatever those are named."""
-    lang, source = keys
-    m = metrics(docs, text_col, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(lang).alias("lang"), F.col(source).alias("source")])
-    shares = stash(_shares(m), "quality")
-    return judge(shares, thresholds(shares)).filter("kept").select("__row.*")
+    names = [F.col(keys[0]).alias("lang"), F.col(keys[1]).alias("source")]
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+    # The metrics are counted twice, for the sketches and for the verdicts: that takes no disk for whole texts.
+    limits = stash(thresholds(stash(sketches(_shares(metrics(docs, text_col, names))), "sketches")), "limits")
+    return judge(_shares(metrics(docs, text_col, [row, *names])), limits).filter("kept").select("__row.*")
