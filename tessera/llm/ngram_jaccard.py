@@ -30,13 +30,14 @@ largest id; extra columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_for, stash, text_bytes
@@ -46,6 +47,7 @@ from .seekable import batches_of
 
 K2, N2, SLACK = 1, 3, 2
 BAND_GROWTH = 1.5
+SKETCH = 16
 CHUNK_CHARS = 3_000_000
 BUCKET_BYTES = 48 << 20
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -95,6 +97,18 @@ class Sets:
         #: Names the set; 0 where it is empty.
         self.keys = np.where(self.sizes > 0, _mix(total + self.sizes.astype(np.uint64), 13) | np.uint64(1), np.uint64(0)).view(np.int64)
 
+    def sketches(self) -> np.ndarray:
+        """SKETCH longs a set: the parities of its shingles' numbers in 64 * SKETCH cells.
+
+        Two sets differ in at least as many shingles as their sketches in bits.
+        """
+        x = _mix(self.hashes, 37) >> np.uint64(8)
+        bit = (x % np.uint64(64)).astype(np.uint64)
+        word = ((x // np.uint64(64)) % np.uint64(SKETCH)).astype(np.int64)
+        out = np.zeros(len(self.sizes) * SKETCH, np.uint64)
+        np.bitwise_xor.at(out, self.of * SKETCH + word, np.uint64(1) << bit)
+        return out.view(np.int64)
+
     def set(self, i: int) -> np.ndarray:
         return self.hashes[self.starts[i] : self.starts[i] + self.sizes[i]]
 
@@ -170,16 +184,27 @@ def _cut(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[pa.Record
             yield b.slice(start, stop - start)
 
 
+def _lists(sketches: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(sketches) + 1, SKETCH), pa.int32()), pa.array(sketches))
+
+
+def possible(num: int, den: int) -> Column:
+    """Whether sets of (na, sa) and (nb, sb), sizes and sketches, can link: never false for those that do."""
+    bits = functools.reduce(lambda a, b: a + b, (F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH)))
+    sizes = (den * F.col("na") >= num * F.col("nb")) & (den * F.col("nb") >= num * F.col("na"))
+    return sizes & (bits * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
+
+
 def classes(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, h, n_shingles, key) of every document; h is the text's hash."""
+    """(doc_id, h, n_shingles, key, sketch) of every document; h is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _cut(batches, 2):
             s = Sets(b.column(2).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.sizes, pa.int64()), pa.array(s.keys, pa.int64(), mask=s.sizes == 0)], names=["doc_id", "h", "n_shingles", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s.sizes, pa.int64()), pa.array(s.keys, pa.int64(), mask=s.sizes == 0), _lists(s.sketches())], names=["doc_id", "h", "n_shingles", "key", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "h", "text").mapInArrow(run, f"doc_id {kind}, h long, n_shingles long, key long")
+    return docs.select("doc_id", "h", "text").mapInArrow(run, f"doc_id {kind}, h long, n_shingles long, key long, sketch array<long>")
 
 
 def groups(docs: DataFrame, width: int, num: int, den: int, n_bytes: int) -> DataFrame:
@@ -263,10 +288,15 @@ def linked(docs: DataFrame, width: int, num: int, den: int, text_col: str = "tex
     # Null ids last.
     one = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))
     first = members.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(one).alias("first"))
-    pairs = stash(found.select(F.col("hub").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
+    nodes = stash(members.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min_by(F.struct("n_shingles", "sketch"), "h").alias("set")).select("key", "set.n_shingles", "set.sketch"), "nodes")
+    a = nodes.select(F.col("key").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+    b = nodes.select(F.col("key").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+    can = possible(num, den)
+    pairs = found.select(F.col("hub").alias("a"), F.col("other").alias("b")).distinct().join(a, "a")
+    pairs = stash(pairs.join(b, (pairs["b"] == b["b"]) & can).select("a", b["b"]), "pairs")
     links = stash(verify(pairs, _texts(rows, first, pairs, width), width, num, den), "links")
     labels = components(links)
-    rest = stash(_across(found, labels), "pairs")
+    rest = stash(_across(found, labels, a, can).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         more = stash(verify(rest, _texts(rows, first, rest, width), width, num, den), "links")
         if not more.isEmpty():
@@ -282,20 +312,25 @@ def join(docs: DataFrame, width: int, num: int, den: int, text_col: str = "text"
     return linked(docs, width, num, den, text_col, key_col).select("doc_id", "n_shingles", F.coalesce("least.doc_id", "doc_id").alias("component_id"))
 
 
-def _across(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of classes of one signature that are in different components, but those with its hub."""
-    comp = lambda c: F.coalesce("comp", c)
-
-    def labelled(df: DataFrame, c: str) -> DataFrame:
-        return df.join(labels.select(F.col("node").alias(c), "comp"), c, "left").withColumn(f"{c}_comp", comp(c)).drop("comp")
-
-    both = labelled(labelled(found, "hub"), "other")
-    split = both.filter("hub_comp <> other_comp").select("sig").distinct()
-    both = both.join(split, "sig")
-    nodes = both.select("sig", F.col("hub").alias("a"), F.col("hub_comp").alias("comp")).union(both.select("sig", F.col("other").alias("a"), F.col("other_comp").alias("comp"))).distinct()
-    other = nodes.select("sig", F.col("a").alias("b"), F.col("comp").alias("b_comp"))
-    pairs = nodes.join(other, "sig").filter("a < b and comp <> b_comp").select("a", "b").distinct()
-    return pairs.join(found.select(F.col("hub").alias("a"), F.col("other").alias("b")), ["a", "b"], "left_anti")
+def _across(found: DataFrame, labels: DataFrame, nodes: DataFrame, can: Column) -> DataFrame:
+    """Pairs of classes that share a signature, are in different components and can link.
+
+    Sketches are compared inside the join, so that only pairs that can link leave
+    it. Of signatures with the same classes one is enough.
+    """
+    both = found
+    for c in ("hub", "other"):
+        comp = labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+        both = both.join(comp, c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
+    ends = F.array(*(F.struct(F.col(c).alias("a"), F.col(f"{c}_comp").alias("comp")) for c in ("hub", "other")))
+    inside = both.select("sig", F.inline(ends)).distinct()
+    groups_ = inside.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.bit_xor(F.xxhash64("a")).alias("who"), F.bit_xor(F.xxhash64("a", F.lit(1))).alias("too"), F.count(F.lit(1)).alias("n"))
+    split = groups_.filter("least <> most").groupBy("who", "too", "n").agg(F.min("sig").alias("sig")).select("sig")
+    left = inside.join(split, "sig").join(nodes, "a").select("sig", "a", "comp", "na", "sa")
+    left = stash(left, "across")
+    right = left.select("sig", *(F.col(x).alias(y) for x, y in (("a", "b"), ("comp", "b_comp"), ("na", "nb"), ("sa", "sb"))))
+    joined = left.join(right, (left["sig"] == right["sig"]) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("b_comp")) & can)
+    return joined.select("a", "b").distinct()
 
 
 def _texts(rows: DataFrame, first: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
