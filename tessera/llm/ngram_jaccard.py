@@ -109,6 +109,14 @@ class Sets:
         np.bitwise_xor.at(out, self.of * SKETCH + word, np.uint64(1) << bit)
         return out.view(np.int64)
 
+    def fine(self, i: int) -> bytes:
+        """A longer sketch of one set: about eight cells for each shingle, a power of two of them."""
+        n = self.sizes[i]
+        cells = 1 << max(10, int(8 * n - 1).bit_length())
+        parity = np.zeros(cells, np.uint8)
+        np.bitwise_xor.at(parity, (_mix(self.set(i), 41) >> np.uint64(5)).astype(np.int64) % cells, np.uint8(1))
+        return np.packbits(parity, bitorder="little").tobytes()
+
     def set(self, i: int) -> np.ndarray:
         return self.hashes[self.starts[i] : self.starts[i] + self.sizes[i]]
 
@@ -254,8 +262,31 @@ def groups(docs: DataFrame, width: int, num: int, den: int, n_bytes: int) -> Dat
     return sent.groupBy("bucket").applyInArrow(meet, "sig long, hub long, other long")
 
 
+def least_difference(a: bytes, b: bytes) -> int:
+    """In how many shingles two sets differ at least, from their fine sketches; the longer one is folded."""
+    x, y = (np.frombuffer(s, np.uint8) for s in sorted((a, b), key=len))
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose texts (key, text) link."""
+    """Those of the pairs (a, b) whose texts (key, n, fine, text) link.
+
+    The fine sketches, a sixth of the texts, are compared first; only pairs that
+    they leave are held against each other in full.
+    """
+
+    def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b.column(2).to_numpy() + b.column(3).to_numpy()
+            least = np.array([least_difference(x.as_py(), y.as_py()) for x, y in zip(b.column(4), b.column(5), strict=True)], np.int64)
+            ok = pa.array(least * (den + num) <= sizes * (den - num))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+    def side(k: str) -> DataFrame:
+        return texts.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("fine").alias(f"fine_{k}"))
+
+    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "fine_a", "fine_b")
+    pairs = stash(near.mapInArrow(coarse, "a long, b long"), "near")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _cut(batches, 2, 3):
@@ -334,18 +365,23 @@ def _across(found: DataFrame, labels: DataFrame, nodes: DataFrame, can: Column)
 
 
 def _texts(rows: DataFrame, first: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(key, text) of the classes in ``pairs``: one document of each is fetched by doc_id and known again by its key."""
+    """(key, n, fine, text) of the classes in ``pairs``: one document of each is fetched by doc_id and known again by its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _cut(batches, 1):
-            same = pa.array(Sets(b.column(1).to_pylist(), width).keys == b.column(0).to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(same), b.column(1).filter(same)], names=["key", "text"])
+            sets = Sets(b.column(1).to_pylist(), width)
+            same = np.flatnonzero(sets.keys == b.column(0).to_numpy())
+            at = pa.array(same)
+            fine = pa.array([sets.fine(i) for i in same], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(sets.sizes[same], pa.int64()), fine, b.column(1).take(at)], names=["key", "n", "fine", "text"])
 
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     # Written, so that its size is known when the join with the texts is planned.
     wanted = stash(first.join(keys, "key").select("key", F.col("first.doc_id").alias("__doc"), F.col("first.h").alias("__h")), "wanted")
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("h") == F.col("__h"))
-    return rows.join(wanted, same).select("key", "text").mapInArrow(run, "key long, text string").dropDuplicates(["key"])
+    found = rows.join(wanted, same).select("key", "text").mapInArrow(run, "key long, n long, fine binary, text string")
+    # Repeated rows give a class twice; links found twice are the same links. Written, as it is read for sketches and for texts.
+    return stash(found, "texts")
 
 
 def keep_one(docs: DataFrame, width: int, num: int, den: int, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
