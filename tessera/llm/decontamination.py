@@ -26,14 +26,19 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, stash
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lower-cased.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, after A-Z are lower-cased and before.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+RAW_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 MOST_TERMS = 2_000_000
 
 
 def words(text: str) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), 0)
+    """A split costs half of what extracting the words does; only its first and last part can be empty."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), BETWEEN), "")
+
+
+def n_words(text: str) -> Column:
+    return F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), RAW_BETWEEN), ""))
 
 
 def windows(items: DataFrame, width: int, text_col: str = "text", key_col: str = "item_id") -> DataFrame:
@@ -142,7 +147,7 @@ def apply(docs: DataFrame, items: DataFrame, width: int = 13, text_col: str = "t
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
     rows = _rows(docs, text_col, key_col)
     hit = stash(hits(rows, items, width), "hits").withColumnsRenamed({"doc_id": "d2", "h": "h2"})
-    counted = rows.select("doc_id", "h", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(RAW_WORD)).cast("long").alias("n_words"))
+    counted = rows.select("doc_id", "h", n_words("text").cast("long").alias("n_words"))
     joined = counted.join(hit, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     names = F.coalesce("items", F.array().cast("array<string>"))
@@ -161,6 +166,5 @@ def keep(docs: DataFrame, items: DataFrame, width: int = 13, text_col: str = "te
     rows = _rows(docs, text_col, key_col)
     hit = hits(rows, items, width).withColumnsRenamed({"doc_id": "__d", "h": "__h"}).select("__d", "__h", F.col("n_hit").alias("__n_hit"))
     found = stash(hit, "hits")
-    n_words = F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(RAW_WORD))
     same = F.col(f"`{key_col}`").eqNullSafe(F.col("__d")) & (F.xxhash64(f"`{text_col}`") == F.col("__h"))
-    return docs.join(found, same & (20 * F.col("__n_hit") >= n_words), "left_anti")
+    return docs.join(found, same & (20 * F.col("__n_hit") >= n_words(f"`{text_col}`")), "left_anti")
