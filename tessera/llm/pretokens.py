@@ -24,7 +24,7 @@ LATIN = re.compile(
 MOST_VOCABULARY_BYTES = 64 << 20
 #: Characters of text whose pre-tokens are held at once, and entries of a worker's cache.
 CHUNK_CHARS = 2_000_000
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 700_000
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -79,7 +79,7 @@ class PieceCache:
         self.make, self.entries, self.known = make, entries, {}
 
     def add(self, pieces: set[str]) -> dict:
-        missing = sorted(pieces - self.known.keys())
+        missing = list(pieces - self.known.keys())
         if len(self.known) + len(missing) > self.entries:
             self.known = {p: self.known[p] for p in pieces & self.known.keys()}
         self.known.update(zip(missing, self.make(missing), strict=True))

@@ -65,7 +65,7 @@ def library_ids(data: bytes, texts: list[str | None]) -> Iterator[bytes]:
             yield b"".join(map(known.__getitem__, ps))
 
 
-def pack_file(doc_ids: list[int | None], ids: list[bytes], level: int = 3) -> bytes:
+def pack_file(doc_ids: list[int | None], ids: list[bytes], level: int = 1) -> bytes:
     """Directory: number of documents; whether each has a doc_id; doc_ids; token counts. Then the ids."""
     n = len(ids)
     directory = b"".join(
