@@ -66,19 +66,21 @@ class Model:
 
 
 def train(texts: list[str | None], y: np.ndarray, l2: float = 5e-4) -> Model:
-    rows = [np.unique(features(t)) for t in texts]
     if not (0 < y.sum() < len(y)):
         return Model(np.zeros(1), 0.0, constant=0.0)
-    col = np.concatenate(rows)
-    mark = np.repeat(y, [len(r) for r in rows])
-    toxic = np.bincount(col, weights=mark, minlength=BUCKETS) + SMOOTH
-    other = np.bincount(col, weights=1 - mark, minlength=BUCKETS) + SMOOTH
+    # Texts are cut up twice, so that no more than one text's features are held at once.
+    toxic, other = np.full(BUCKETS, SMOOTH), np.full(BUCKETS, SMOOTH)
+    for t, mark in zip(texts, y, strict=True):
+        (toxic if mark else other)[np.unique(features(t))] += 1
     ratio = np.log(toxic / (y.sum() + 2 * SMOOTH)) - np.log(other / ((1 - y).sum() + 2 * SMOOTH))
     # Ratios that chance explains are noise, and there are many of them.
     sure = np.flatnonzero(np.abs(ratio) >= LEAST_ERRORS * np.sqrt(1 / toxic + 1 / other))
     place = np.full(BUCKETS, -1)
     place[sure] = np.arange(len(sure))
-    used = [place[r][place[r] >= 0] for r in rows]
+    used = []
+    for t in texts:
+        at = place[features(t)]
+        used.append(np.unique(at[at >= 0]))
     w, b = fit(Sparse([(u, ratio[sure[u]]) for u in used], len(sure)), y, l2, positive_weight=3.0)
     weights = np.zeros(BUCKETS)
     weights[sure] = w * ratio[sure]
