@@ -50,6 +50,8 @@ BAND_GROWTH = 1.5
 SKETCH = 16
 CHUNK_CHARS = 3_000_000
 BUCKET_BYTES = 48 << 20
+#: Most classes (three numbers each) that are broadcast to fetch their texts; of more, the texts are shuffled.
+MOST_BROADCAST = 500_000
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -376,10 +378,11 @@ def _texts(rows: DataFrame, first: DataFrame, pairs: DataFrame, width: int) -> D
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(sets.sizes[same], pa.int64()), fine, b.column(1).take(at)], names=["key", "n", "fine", "text"])
 
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    # Written, so that its size is known when the join with the texts is planned.
+    # Written, so that it can be counted before the join with the texts is planned.
     wanted = stash(first.join(keys, "key").select("key", F.col("first.doc_id").alias("__doc"), F.col("first.h").alias("__h")), "wanted")
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("h") == F.col("__h"))
-    found = rows.join(wanted, same).select("key", "text").mapInArrow(run, "key long, n long, fine binary, text string")
+    few = wanted.count() <= MOST_BROADCAST
+    found = rows.join(F.broadcast(wanted) if few else wanted, same).select("key", "text").mapInArrow(run, "key long, n long, fine binary, text string")
     # Repeated rows give a class twice; links found twice are the same links. Written, as it is read for sketches and for texts.
     return stash(found, "texts")
 
