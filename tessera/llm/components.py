@@ -8,25 +8,29 @@ from pyspark.sql import functions as F
 from .common import drop_stash, stash
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node of ``links`` (a, b); comp is the component's smallest node.
 
-    Labels start at the smallest neighbour. Each round takes the smallest label
-    among neighbours and then the label of the label, so paths shrink by half.
-    Each round is written to the shared folder; the driver sees only the number
-    of labels that changed.
+    Alternating large-star and small-star. Links point from the larger node to the
+    smaller one and every node has one to itself. The large star moves each link's
+    end to the smallest node that its end points to; the small star links all that
+    a node points to with the smallest of them. Both keep components and lower the
+    links, so there is always an end: every node points to its component's smallest
+    and to nothing else. Rounds grow with the logarithm of the longest path, in
+    whatever order the ids are, and links never become more. Each half round is
+    written to the shared folder; the driver sees only whether a link moved.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = stash(both.distinct(), "edges")
-    labels = stash(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
-    for _ in range(most_rounds):
-        near = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        moved = stash(lower.join(up, "comp").select("node", "was", F.least("comp", "up").alias("comp")), "labels")
-        changed = moved.filter("was <> comp").limit(1).count()
-        drop_stash(labels)
-        labels = moved.select("node", "comp")
-        if not changed:
-            return labels
-    raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+    own = links.select("a", F.col("a").alias("b")).union(links.select("b", F.col("b").alias("a")))
+    edges = stash(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(own).distinct(), "edges")
+    while True:
+        low = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("low"))
+        far = edges.join(low, "b").groupBy("a", "low").agg(F.bool_or(F.col("b") > F.col("low")).alias("moved"))
+        far = stash(far.withColumnRenamed("low", "b"), "edges")
+        drop_stash(edges)
+        low = far.groupBy("a").agg(F.min("b").alias("low"))
+        above = F.col("b") > F.col("low")
+        near = far.join(low, "a").groupBy(F.when(above, F.col("b")).otherwise(F.col("a")).alias("a"), F.col("low").alias("b"))
+        edges = stash(near.agg((F.bool_or("moved") | F.bool_or(above)).alias("moved")), "edges")
+        drop_stash(far)
+        if edges.filter("moved").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))

@@ -408,6 +408,25 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("n", [400, 1000])
+def test_components_of_long_paths(spark, n):
+    """Paths whose ids are in no order: the rounds don't grow with their length."""
+    ids = list(range(n))
+    random.Random(n).shuffle(ids)
+    got = sorted(map(tuple, components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")).collect()))
+    assert got == [(i, 0) for i in range(n)]
+
+
+def test_jaccard_of_many_revisions(spark):
+    """Texts that each change one word of the one before are one component, as long as the row of them may be."""
+    rows, words = [], [f"w{i}" for i in range(60)]
+    for i in range(400):
+        words[7 * i % 60] = f"v{i}"
+        rows.append((i, " ".join(words)))
+    got = ngram_jaccard.join(docs(spark, rows), 3, 90, 100).collect()
+    assert sorted(map(tuple, got)) == [(i, 58, 0) for i in range(400)]
+
+
 # --- 9 -------------------------------------------------------------------------------
 
 
