@@ -388,8 +388,20 @@ def _texts(rows: DataFrame, first: DataFrame, pairs: DataFrame, width: int) -> D
 
 
 def keep_one(docs: DataFrame, width: int, num: int, den: int, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
-    """One document of each component (of repeated rows all that are the first), with the columns of ``docs`` only."""
+    """One document of each component, and all without words, with the columns of ``docs`` only.
+
+    Of rows that equal the first in id and text any one stays; only these are shuffled.
+    """
     l = linked(docs, width, num, den, text_col, key_col)  # noqa: E741
-    others = l.filter("least is not null").filter(~(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("h") == F.col("least.h"))))
-    gone = stash(others.select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h")).distinct(), "gone")
-    return docs.join(gone, F.col(f"`{key_col}`").eqNullSafe(F.col("__gone")) & (F.xxhash64(f"`{text_col}`") == F.col("__h")), "left_anti")
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("h") == F.col("least.h"))
+    counted = l.filter("least is not null").groupBy("doc_id", "h").agg(F.bool_and(first).alias("__first"), F.count(F.lit(1)).alias("n"))
+    marked = stash(counted.filter("not __first or n > 1").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h"), "__first"), "gone")
+    doc, h = F.col(f"`{key_col}`"), F.xxhash64(f"`{text_col}`")
+    same = doc.eqNullSafe(F.col("__gone")) & (h == F.col("__h"))
+    kept = docs.join(marked, same, "left_anti")
+    again = marked.filter("__first")
+    if again.isEmpty():
+        return kept
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+    copies = docs.join(again, same, "left_semi").select(row, doc.alias("__doc"), h.alias("__text"))
+    return kept.unionAll(copies.dropDuplicates(["__doc", "__text"]).select("__row.*"))

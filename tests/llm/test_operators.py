@@ -394,6 +394,15 @@ def test_jaccard_edges(odd, empty):
     assert ngram_jaccard.keep_one(odd, 3, 90, 100).columns == odd.columns
 
 
+def test_keep_one_of_repeated_rows(spark):
+    """Copies without an id and repeated rows: one of each stays; rows without words link to nothing and stay."""
+    rows = [(None, "a b c d e f")] * 4 + [(1, "g h i j k l")] * 3 + [(2, "G h i j k l"), (1, "other text of id one")] + [(None, None)] * 2 + [(3, "")] * 2
+    kept = ngram_jaccard.keep_one(docs(spark, rows), 3, 90, 100)
+    want = [(None, "a b c d e f"), (1, "g h i j k l"), (1, "other text of id one"), (None, None), (None, None), (3, ""), (3, "")]
+    assert kept.dtypes == docs(spark, rows).dtypes
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter(want)
+
+
 def test_components(spark):
     rnd = random.Random(2)
     links = [(i, i + 1) for i in range(200)] + [(1000, x) for x in range(1001, 1100)] + [(rnd.randrange(5000, 5200), rnd.randrange(5000, 5200)) for _ in range(120)]
