@@ -5,8 +5,9 @@ windows, mean word length). Per language and source one mergeable KLL sketch of
 each metric is built; sketches of a language's sources are merged into the
 language's and those into the whole corpus's. A metric's limit is the upper (or
 lower) fence ``q75 + k * (q75 - q25)`` of the finest group that has enough
-documents, never closer to the median than a documented margin, so that a clean
-group with little spread loses nothing. The limits are joined to the metrics
+documents, and no nearer the median than the spread of the language gives. Where
+the quartiles are equal in both, there is no spread to go by and the limit is a
+documented margin from the median, so that a clean group loses nothing. The limits are joined to the metrics
 and a document beyond any limit is rejected.
 
 Defined results: a null or empty text has no words and fails the base rule; null
@@ -24,7 +25,7 @@ from .common import stash
 #: What separates words, and the characters that count as symbols.
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: Metric -> (side on which it is bad, least distance of a limit from the median).
+#: Metric -> (side on which it is bad, distance of a limit from the median where the quartiles are equal).
 METRICS = {
     "symbol_share": ("high", 0.08),
     "dup_line_share": ("high", 0.40),
@@ -138,7 +139,9 @@ def thresholds(by_source: DataFrame, keys: tuple[str, str] = ("lang", "source"),
     limits = []
     for m, (side, margin) in METRICS.items():
         q = F.when(F.col("n_fine") >= least_docs, F.col(f"{m}_fine")).when(F.col("n_mid") >= least_docs, F.col(f"{m}_mid")).otherwise(F.col(f"{m}_top"))
-        spread = F.greatest(fence * (q[2] - q[0]), F.lit(margin))
+        # A group of near copies has next to no spread: its language's is the least.
+        range_ = F.greatest(q[2] - q[0], F.col(f"{m}_mid")[2] - F.col(f"{m}_mid")[0])
+        spread = F.when(range_ > 0, fence * range_).otherwise(margin)
         limits.append((q[1] + spread).alias(f"{m}_max"))
         limits.append((q[1] - spread if side == "both" else F.lit(float("-inf"))).alias(f"{m}_min"))
     return joined.select(F.col(lang).alias("__lang"), F.col(source).alias("__source"), *limits)

@@ -472,6 +472,16 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert kept == {i for i, _ in rows if i % 20}
 
 
+def test_quality_limits_follow_the_spread(spark):
+    """Where the quartiles differ, the fence is the limit, nearer than the margin or not; else the margin is."""
+    rows = [(i, " ".join(["abcd" if i % 2 else "abcde"] * 5 + [f"{i}x{j}y"[:4].ljust(4, "z") for j in range(40)])) for i in range(300)]
+    shares = quality_rules._shares(quality_rules.metrics(docs(spark, rows), "text", [F.col("doc_id"), F.col("lang"), F.col("source")]))
+    limits = quality_rules.thresholds(quality_rules.sketches(shares)).collect()[0]
+    low, high = 4.0, (5 * 5 + 40 * 4) / 45
+    assert limits.mean_word_chars_max - 6 * (high - low) == pytest.approx(low) or limits.mean_word_chars_max - 6 * (high - low) == pytest.approx(high)
+    assert limits.symbol_share_max == 0.08
+
+
 def test_quality_edges(spark, odd, empty):
     assert quality_rules.apply(odd).count() == odd.count() and quality_rules.apply(empty).count() == 0
     nulls = odd.withColumn("lang", F.lit(None).cast("string"))
