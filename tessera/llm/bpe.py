@@ -3,8 +3,8 @@
 The distinct pre-tokens of a chunk of a partition are laid out in one array of
 symbols. An index maps each mergeable pair to all its positions in the array.
 Ranks that have positions are applied in ascending order; each merge updates the
-lists of the pairs that it destroys and makes. Pre-tokens already encoded by the
-worker come from a bounded cache.
+lists of the pairs that it destroys and makes. Units of text (from one space to the
+next) that the worker has encoded before come from a bounded cache.
 
 Defined results: null and empty texts have no ids and decode to ""; a special
 token's string in a text becomes its id, as the tokenizers library does by
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import PieceCache, Vocabulary, chunks, pieces_of, read_vocabulary, vocabulary
+from .pretokens import IdCache, Vocabulary, cut, gather, read_vocabulary, run_sums, vocabulary
 
 BOUNDARY, GONE = -1, -2
 
@@ -38,8 +38,8 @@ class PairIndexEncoder:
         self.rank = {a * self.width + b: r for r, (a, b, _) in enumerate(v.merges)}
         self.byte_ids = np.array(v.byte_ids, dtype=np.int64)
 
-    def encode(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, as little-endian unsigned 32-bit integers."""
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces, one after another, and how many each has."""
         raw = [b"" if p in self.v.special else p.encode() for p in pieces]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         # One boundary before each piece and one at the end.
@@ -51,14 +51,12 @@ class PairIndexEncoder:
         flat[inside] = self.byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]
         symbols = self._merge(flat)
         live = symbols >= 0
-        counts = np.add.reduceat(live, starts - 1) if len(raw) else np.zeros(0, np.int64)
-        ends = np.cumsum(counts) * 4
-        data = symbols[live].astype("<u4").tobytes()
-        out = [data[a:b] for a, b in zip((ends - counts * 4).tolist(), ends.tolist(), strict=True)]
-        for i, p in enumerate(pieces):
-            if p in self.v.special:
-                out[i] = self.v.special[p].to_bytes(4, "little")
-        return out
+        counts = np.add.reduceat(live, starts - 1, dtype=np.int64) if len(raw) else np.zeros(0, np.int64)
+        ids = symbols[live]
+        if special := [i for i, p in enumerate(pieces) if p in self.v.special]:
+            ids = np.insert(ids, np.cumsum(counts)[special], [self.v.special[pieces[i]] for i in special])
+            counts[special] = 1
+        return ids, counts
 
     def _index(self, flat: np.ndarray) -> dict[int, list[int]]:
         """Rank -> positions of its pair, ascending."""
@@ -119,24 +117,27 @@ class PairIndexEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def _cache(data: bytes) -> PieceCache:
-    return PieceCache(PairIndexEncoder(vocabulary(data)).encode)
+def _cache(data: bytes) -> IdCache:
+    return IdCache(vocabulary(data), PairIndexEncoder(vocabulary(data)).encode)
 
 
-def encode_texts(data: bytes, texts: list[str | None]) -> Iterator[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers."""
-    v, cache = vocabulary(data), _cache(data)
-    for chunk in chunks(texts):
-        pieces = [pieces_of(t, v) for t in chunk]
-        known = cache.add({p for ps in pieces for p in ps})
-        for ps in pieces:
-            yield b"".join(map(known.__getitem__, ps))
+def encode_texts(data: bytes, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the texts, one after another, and how many each text has."""
+    return _cache(data).encode(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
 
 
-def decode_ids(data: bytes, ids: bytes) -> str:
-    """The text of ids; bytes that are not UTF-8 become replacement characters."""
+@functools.lru_cache(maxsize=2)
+def _token_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tokens = vocabulary(data).token_bytes
-    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+def decode_ids(data: bytes, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+    """The texts of runs of ids; bytes that are not UTF-8 become replacement characters."""
+    raw, sizes = gather(*_token_bytes(data), ids)
+    raw, ends = raw.tobytes(), np.cumsum(run_sums(sizes, counts)).tolist()
+    return [raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
@@ -144,12 +145,13 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", key_co
     data = read_vocabulary(vocabulary_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [np.frombuffer(x, "<u4").astype(np.int64) for x in encode_texts(data, b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+        for b in cut(batches, 1):
+            ids, counts = encode_texts(data, b.column(1))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "ids"])
 
     kind = docs.schema[key_col].dataType.simpleString()
-    return docs.select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<bigint>")
+    return docs.select(F.col(f"`{key_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<bigint>")
 
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -158,7 +160,8 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [decode_ids(data, np.asarray(x or [], "<u4").tobytes()) for x in b.column(1).to_pylist()]
+            lists = [np.asarray(x or [], np.int64) for x in b.column(1).to_pylist()]
+            texts = decode_ids(data, np.concatenate([*lists, np.zeros(0, np.int64)]), np.array([len(x) for x in lists], np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
@@ -170,14 +173,13 @@ def round_trip(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ke
     data = read_vocabulary(vocabulary_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, ids_sha, text_sha = [], [], []
-            for ids in encode_texts(data, b.column(1).to_pylist()):
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(decode_ids(data, ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for b in cut(batches, 1):
+            ids, counts = encode_texts(data, b.column(1))
+            raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            ids_sha = [hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip([0, *ends], ends, strict=False)]
+            text_sha = [hashlib.sha256(t.encode()).hexdigest() for t in decode_ids(data, ids, counts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key_col].dataType.simpleString()
     out = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
+    return docs.select(F.col(f"`{key_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, out)

@@ -14,7 +14,7 @@ leave no half-written files.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import xxhash
 import zstandard
@@ -44,40 +44,60 @@ def pack(frames: list[bytes], level: int = 3, index: bytes | None = None) -> byt
 
 
 class Reader:
-    """Random access to the frames of one file."""
-
-    def __init__(self, data: bytes | memoryview):
-        self.data = memoryview(data)
-        if bytes(self.data[-4:]) != SEEKABLE:
+    """Random access to the frames of one file: from its bytes, or by ``read(at, size)`` where only ranges are fetched."""
+
+    def __init__(self, data: bytes | memoryview | None = None, read: Callable[[int, int], bytes] | None = None, length: int | None = None):
+        if data is not None:
+            view = memoryview(data)
+            read, length = (lambda at, size: view[at : at + size]), len(view)
+        self.read, self.z = read, zstandard.ZstdDecompressor()
+        end = bytes(read(length - 9, 9)) if length >= 9 else b""
+        if end[-4:] != SEEKABLE:
             raise ValueError("no seek table at the end")
-        n, flags = struct.unpack("<IB", self.data[-9:-4])
+        n, flags = struct.unpack("<IB", end[:5])
         width = 12 if flags & HAS_CHECKSUMS else 8
-        table = self.data[len(self.data) - 9 - n * width : len(self.data) - 9]
+        self.table_at = length - 9 - n * width
         self.frames, at = [], 0
-        for row in struct.iter_unpack("<III" if width == 12 else "<II", table):
+        for row in struct.iter_unpack("<III" if width == 12 else "<II", read(self.table_at, n * width)):
             self.frames.append((at, *row))
             at += row[0]
-        self.z = zstandard.ZstdDecompressor()
 
     def index(self) -> bytes:
         """The index after the last frame."""
         at = sum(f[1] for f in self.frames)
-        magic, size = struct.unpack_from("<II", self.data, at)
+        magic, size = struct.unpack("<II", self.read(at, 8))
         if magic != SKIPPABLE_INDEX:
             raise ValueError("no index")
-        return self.z.decompress(self.data[at + 8 : at + 8 + size])
+        return self.z.decompress(self.read(at + 8, size))
 
     def __len__(self) -> int:
         return len(self.frames)
 
     def frame(self, i: int) -> bytes:
         at, size, length, *check = self.frames[i]
-        raw = self.z.decompress(self.data[at : at + size], max_output_size=length)
+        raw = self.z.decompress(self.read(at, size), max_output_size=length)
         if check and xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != check[0]:
             raise ValueError(f"frame {i} is damaged")
         return raw
 
 
+def open_remote(spark: SparkSession, file: str) -> Reader:
+    """A reader on the driver that fetches ranges of a file from any store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def read(at: int, size: int) -> bytes:
+        stream = fs.open(path)
+        try:
+            stream.seek(at)
+            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size))
+        finally:
+            stream.close()
+
+    return Reader(read=read, length=fs.getFileStatus(path).getLen())
+
+
 def write_files(rows: DataFrame, path: str) -> None:
     """One file for each row of the binary column ``file``, in the order of partitions and rows."""
     (

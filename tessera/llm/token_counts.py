@@ -6,8 +6,9 @@ whole millionths so that ties are exact. The token count of a pre-token is that
 of its segmentation with the highest sum, of several such the fewest tokens.
 Distinct pre-tokens of a chunk go into a trie; a node's forward score (best sum
 and fewest tokens for the bytes from the root) is computed once for all
-pre-tokens that share the prefix, and terminal counts are kept in a bounded
-cache. A document's count is the sum over its pre-tokens.
+pre-tokens that share the prefix; terminal counts are stored, and those of units of
+text (from one space to the next) are kept in a bounded cache. A document's count is
+the sum over its units.
 
 Defined results: null and empty texts count 0; every byte is a piece, so any text
 has a count; special tokens' strings are ordinary text; rows are independent, so
@@ -22,11 +23,12 @@ import functools
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import PieceCache, chunks, find_pieces, read_vocabulary
+from .pretokens import UnitCache, cut, pieces_of_units, read_vocabulary, run_sums
 
 UNIT = 1_000_000
 #: Pre-tokens of more bytes are scored on their own, without nodes in the trie.
@@ -83,9 +85,37 @@ class UnigramTrie:
         return out
 
 
+class CountCache(UnitCache):
+    """Numbers of pre-tokens and tokens of units."""
+
+    def __init__(self, trie: UnigramTrie):
+        self.trie, self.known = trie, {}
+        super().__init__()
+
+    def forget(self) -> None:
+        super().forget()
+        self.pretokens, self.tokens = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, units: list[str]) -> None:
+        pieces, counts = pieces_of_units(units)
+        coded = pa.array(pieces, pa.string()).dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if len(self.known) > self.entries:
+            self.known = {}
+        missing = [p for p in names if p not in self.known]
+        self.known.update(zip(missing, self.trie.counts(missing), strict=True))
+        tokens = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        self.pretokens = np.concatenate([self.pretokens, counts])
+        self.tokens = np.concatenate([self.tokens, run_sums(tokens[coded.indices.to_numpy()] if len(names) else tokens, counts)])
+
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        which, n = self.units(texts)
+        return run_sums(self.pretokens[which], n), run_sums(self.tokens[which], n)
+
+
 @functools.lru_cache(maxsize=2)
-def _cache(data: bytes) -> PieceCache:
-    return PieceCache(UnigramTrie(data).counts)
+def _cache(data: bytes) -> CountCache:
+    return CountCache(UnigramTrie(data))
 
 
 def token_counts(docs: DataFrame, ranks_path: str, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
@@ -93,15 +123,9 @@ def token_counts(docs: DataFrame, ranks_path: str, text_col: str = "text", key_c
     data = read_vocabulary(ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(data)
-        for b in batches:
-            words, tokens = [], []
-            for chunk in chunks(b.column(1).to_pylist()):
-                found = [find_pieces(t) for t in chunk]
-                known = cache.add({p for ps in found for p in ps})
-                words += map(len, found)
-                tokens += [sum(map(known.__getitem__, ps)) for ps in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
+        for b in cut(batches, 1):
+            n_pretokens, n_tokens = _cache(data).counts(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_pretokens), pa.array(n_tokens)], names=["doc_id", "n_pretokens", "n_tokens"])
 
     kind = docs.schema[key_col].dataType.simpleString()
-    return docs.select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_pretokens long, n_tokens long")
+    return docs.select(F.col(f"`{key_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"doc_id {kind}, n_pretokens long, n_tokens long")

@@ -76,10 +76,10 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, bytes, int]:
 
 
 class Bundle:
-    """Random access to the records of one file."""
+    """Random access to the records of one file: from its bytes or from a reader that fetches ranges."""
 
-    def __init__(self, content: bytes | memoryview):
-        self.reader = seekable.Reader(content)
+    def __init__(self, content: bytes | memoryview | seekable.Reader):
+        self.reader = content if isinstance(content, seekable.Reader) else seekable.Reader(content)
         self.index: list[tuple[str, int, int]] = [tuple(x) for x in json.loads(self.reader.index())]
 
     def find(self, identifier: str) -> list[tuple[dict[str, str], bytes, bytes]]:
@@ -94,6 +94,11 @@ class Bundle:
             yield parse(raw, at)[:3]
 
 
+def fetch(spark: SparkSession, file: str, page_id: int) -> list[tuple[dict[str, str], bytes, bytes]]:
+    """A page's records in one file; only the file's end, its index and the page's frames are read."""
+    return Bundle(seekable.open_remote(spark, file)).find(record_id(page_id))
+
+
 def pack_bundle(ids: list[str], records: list[bytes], level: int = 3) -> bytes:
     frames, index = [], []
     for a, b in seekable.batches_of(map(len, records), FRAME_BYTES):
@@ -106,11 +111,16 @@ def pack_bundle(ids: list[str], records: list[bytes], level: int = 3) -> bytes:
 
 
 def plan(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, digest, first): first is the response's page_id where there are copies."""
+    """(page_id, url, html, digest, first): first is the response's page_id where there are copies.
+
+    Payloads under LEAST_SHARED bytes have no copies; they are dealt out by page.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
     copies = rows.filter(F.octet_length("html") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.join(copies.select(F.col("digest").alias("__digest"), "first"), F.col("digest") == F.col("__digest"), "left").drop("__digest")
+    # Short payloads get keys that no digest equals, each its own, so that they are no hot key.
+    key = F.when(F.octet_length("html") >= LEAST_SHARED, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    return rows.withColumn("__key", key).join(copies.select(F.col("digest").alias("__digest"), "first"), F.col("__key") == F.col("__digest"), "left").drop("__digest", "__key")
 
 
 def write(pages: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -246,8 +247,21 @@ def test_bpe_equals_the_library(spark, sample, odd):
     codes = [*range(1, 0x3000), *range(0x3000, 0xD800, 13), *range(0xE000, 0x20000, 17)]
     rnd = random.Random(1)
     rare = ["".join(chr(c) for c in codes[i : i + 200]) for i in range(0, len(codes), 200)] + ["".join(rnd.choices("aA '\n\t\xa0é1²!_", k=200)) for _ in range(200)]
+    rare += ["".join(rnd.choices(" \n\t\x1c\x85\xa0\u2028\u3000aé.'", weights=[9, 2, 1, 1, 1, 1, 1, 1, 6, 2, 1, 1], k=rnd.randrange(60))) for _ in range(3000)]
+    rare += ["  ", " ", "   ", " a", "a  ", "a   b", "\n  b", "b \n c", "a\n \nb", " <|endoftext|>  <|endoftext|> ", None, ""]
     data = pretokens.read_vocabulary(JSON)
-    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_texts(data, rare)] == library(rare)[1]
+    want = library(rare)[1]
+    ids, counts = bpe.encode_texts(data, rare)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    # The library gives whole texts what it gives their units.
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_files.library_ids(data, rare)] == want
+    sliced = pa.array(["zz  ", *rare, "  "]).slice(1, len(rare))
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_files.library_ids(data, sliced)] == want
+    small = pretokens.IdCache(pretokens.vocabulary(data), bpe.PairIndexEncoder(pretokens.vocabulary(data)).encode, entries=50)
+    for at in range(0, len(rare), 300):
+        part = rare[at : at + 300]
+        ids, counts = small.encode(pa.array(part, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[at : at + 300]
 
 
 def test_bpe_general_interface(odd, empty):
@@ -267,6 +281,37 @@ def test_token_files(spark, sample, odd, empty):
     assert token_files.round_trip(empty, JSON).count() == 0
 
 
+def test_token_files_keep_their_order_beside_names(spark, sample):
+    """More files in a part than Spark's names have digits for: their place comes from the directory."""
+    path = shared_dir(spark, "many")
+    n = 1100
+    token_files.write(spark.createDataFrame([(i, f"w{i}") for i in range(n)], "doc_id long, text string"), path, JSON, file_bytes=1)
+    assert seekable.read_files(spark, path).count() == n
+    got = sorted(token_files.read(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == list(range(n)) and [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(n)]
+    rows = spark.createDataFrame([(p, f, p % 7 + f + 1) for p in range(99_998, 100_003) for f in (0, 1)] + [(0, 0, 5), (1024, 0, 3)], "part long, number long, n_tokens long").withColumn("at", F.lit(0))
+    starts = [(r.part, r.number, r.start, r.n_tokens) for r in token_files.with_start(rows).orderBy("part", "number").collect()]
+    assert [s for *_, s, _ in starts] == [sum(x[3] for x in starts[:i]) for i in range(len(starts))]
+
+
+def test_ranged_reads(spark):
+    path = shared_dir(spark, "ranged")
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(3000))) for i in range(60)]
+    token_files.write(spark.createDataFrame(texts, "doc_id long, text string"), path, JSON)
+    (file,) = [r.path for r in seekable.read_files(spark, path).select("path").collect()]
+    assert token_files.fetch(spark, file, 33) == [x + b"\0\0\0\0" for x in token_files.library_ids(pretokens.read_vocabulary(JSON), [texts[33][1]])]
+    reader = seekable.open_remote(spark, file)
+    asked = []
+    fetch = reader.read
+    reader.read = lambda at, size: asked.append(size) or fetch(at, size)
+    reader.frame(1)
+    assert len(reader) > 2 and asked == [reader.frames[1][1]]
+    path = shared_dir(spark, "ranged")
+    warc.write(spark.createDataFrame([(i, f"u{i}", f"page {i} " * 20_000) for i in range(20)], "page_id long, url string, html string").coalesce(1), path)
+    found = [x for r in seekable.read_files(spark, path).select("path").collect() for x in warc.fetch(spark, r.path, 7)]
+    assert [p for _, _, p in found] == [b"page 7 " * 20_000]
+
+
 def test_token_file_random_access():
     ids = [np.arange(n, dtype="<u4").tobytes() for n in (1, 300_000, 0, 5, 400_000)]
     content = token_files.pack_file([5, 7, None, 9, 9], ids) + seekable.SEEKABLE
