@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import bpe, decontamination, lm_scoring, ngram_jaccard, pretokens, quality_classifier, quality_rules, seekable, token_counts, token_files, toxicity, warc
-from tessera.llm.common import shared_dir
+from tessera.llm.common import shared_dir, stash
+from tessera.llm.logistic import labelled_sample
 from tessera.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -162,8 +163,6 @@ def test_decontamination_brute_force(spark):
     assert got == collections.Counter((i, *brute_hits(t, items)) for i, t in rows)
     kept = sorted(r.doc_id for r in decontamination.keep(docs(spark, rows), bench).collect())
     assert kept == sorted(i for i, t in rows if not brute_hits(t, items)[4])
-    plan = decontamination.apply(docs(spark, rows), bench)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_decontamination_edges(spark, odd, empty):
@@ -210,6 +209,76 @@ def test_classifiers_hold_out(spark):
     assert quality_classifier.keep(d, some, F.col("source"), F.col("lang")).columns == d.columns
 
 
+def test_labelled_sample_is_bounded(spark):
+    """One row an id, in rows and in bytes, whatever repeats."""
+    rows = [(7, f"text {i % 3}") for i in range(5000)] + [(i, "x" * 1000) for i in range(100, 150)] + [(8, None)]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in [7, 8, *range(100, 150)]], "doc_id long, quality int")
+    d = docs(spark, rows)
+    texts, y = labelled_sample(d, labels, "quality", F.lit(True), 1000)
+    assert len(texts) == len(y) == 52 and texts.count(None) == 1
+    assert len(labelled_sample(d, labels, "quality", F.lit(True), 2)[0]) == 2
+    assert sum(len(t or "") for t in labelled_sample(d, labels, "quality", F.lit(True), 1000, most_bytes=5000)[0]) <= 5000
+    assert labelled_sample(d, labels, "quality", F.col("doc_id") < 0, 10)[0] == []
+
+
+def test_toxicity_model_brute_force():
+    """Log-count ratios and the choice of features against plain counting, and scores against the sum over a text's features."""
+    rnd = random.Random(6)
+    texts = [" ".join("".join(rnd.choices("abcde", k=rnd.randint(1, 7))) for _ in range(30)) + (" wugglefink" if i % 3 == 0 else "") for i in range(300)]
+    y = np.array([float(i % 3 == 0) for i in range(300)])
+
+    def brute(t):
+        out = set()
+        for w in set(re.findall(r"[^\W\d_]+", t.lower())):
+            w = f"<{w}>"
+            for n in (3, 4, 5, 6):
+                for i in range(len(w) - n + 1):
+                    h = 0
+                    for c in w[i : i + n]:
+                        h = (h * 1_000_003 + ord(c)) % 2**64
+                    out.add((h + n) * toxicity.MIX % 2**64 >> 44)
+        return out
+
+    sets = [brute(t) for t in texts]
+    assert all(set(toxicity.features(t).tolist()) == s for t, s in zip(texts, sets, strict=True))
+    toxic, other = collections.Counter(), collections.Counter()
+    for s, mark in zip(sets, y, strict=True):
+        (toxic if mark else other).update(s)
+    ratio = {f: math.log((toxic[f] + 1) / (100 + 2)) - math.log((other[f] + 1) / (200 + 2)) for f in toxic | other}
+    sure = {f for f, r in ratio.items() if abs(r) >= 3 * math.sqrt(1 / (toxic[f] + 1) + 1 / (other[f] + 1))}
+    model = toxicity.train(texts, y)
+    assert set(np.flatnonzero(model.weights).tolist()) <= sure and len(sure) > 5
+    for t, s in list(zip(texts, sets, strict=True))[:50]:
+        z = sum(float(model.weights[f]) for f in s) + model.bias
+        assert model.score(toxicity.features(t)) == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
+
+
+def test_posteriors_equal_sql(spark):
+    """Shrunk means and shifts of hosts and paths, recomputed by SQL."""
+    import duckdb
+    import pandas as pd
+
+    rnd = random.Random(12)
+    rows = [(f"h{rnd.randrange(12)}", f"p{rnd.randrange(4)}", rnd.gauss(0, 3)) for _ in range(3000)] + [("h99", "p0", -8.0), ("h98", None, 2.0), (None, "p1", 1.0)]
+    d = pd.DataFrame(rows, columns=["host", "path", "logit"])  # noqa: F841
+    strength = "least(1e6, greatest(20.0, case when spread > 0 then wi / spread else 1e6 end))"
+    moments = "sum(q - s * s / n) / greatest(sum(n) - count(*), 1) wi, sum(n * (s / n - m) ** 2) be, count(*) k, sum(n) total"
+    want = duckdb.sql(f"""
+        with p as (select host, path, count(*) n, sum(1 / (1 + exp(-logit))) s, sum((1 / (1 + exp(-logit))) ** 2) q from d group by 1, 2),
+        h as (select host, sum(n) n, sum(s) s, sum(q) q from p group by 1),
+        g as (select sum(s) / sum(n) m from h),
+        kh as (select m, {strength} k from (select m, wi, (be - wi * k) / total spread from (select any_value(m) m, {moments} from h, g))),
+        hm as (select host, m, (k * m + s) / (k + n) hm from h, kh),
+        ph as (select p.*, hm.m g, hm.hm m from p join hm on p.host is not distinct from hm.host),
+        kp as (select {strength} k from (select wi, (be - wi * k) / total spread from (select {moments} from ph))),
+        f as (select host, path, greatest(1e-4, least(1 - 1e-4, (k * m + s) / (k + n))) x, greatest(1e-4, least(1 - 1e-4, g)) g from ph, kp)
+        select host, path, x, ln(x / (1 - x)) - ln(g / (1 - g)) from f""").fetchall()
+    got = {tuple(r)[:2]: tuple(r)[2:] for r in quality_classifier.posteriors(spark.createDataFrame(rows, "host string, path string, logit double")).collect()}
+    assert len(got) == len(want) > 40
+    for h, p, x, shift in want:
+        assert got[h, p] == (pytest.approx(x, rel=1e-9), pytest.approx(shift, rel=1e-7, abs=1e-9))
+
+
 def test_sites_shrink_towards_the_prior(spark):
     rows = [("big", "p", -2.0)] * 500 + [("big", "q", 2.0)] * 500 + [("small", "r", -2.0)] + [("other", "s", 2.0)] * 1000
     s = {(r.__getitem__("__h"), r.__getitem__("__p")): r.site_posterior for r in quality_classifier.posteriors(spark.createDataFrame(rows, "host string, path string, logit double")).collect()}
@@ -503,8 +572,6 @@ def test_quality_brute_force(spark, sample, odd):
     got = collections.Counter((x.doc_id, x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) for x in r.collect())
     assert got == collections.Counter((x.doc_id, *brute_metrics(x.text)) for x in d.collect())
     assert r.filter("base_failed and kept").count() == 0
-    plan = r._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_quality_keeps_clean_and_rejects_junk(spark):
@@ -517,14 +584,102 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert kept == {i for i, _ in rows if i % 20}
 
 
-def test_quality_limits_follow_the_spread(spark):
-    """Where the quartiles differ, the fence is the limit, nearer than the margin or not; else the margin is."""
-    rows = [(i, " ".join(["abcd" if i % 2 else "abcde"] * 5 + [f"{i}x{j}y"[:4].ljust(4, "z") for j in range(40)])) for i in range(300)]
-    shares = quality_rules._shares(quality_rules.metrics(docs(spark, rows), "text", [F.col("doc_id"), F.col("lang"), F.col("source")]))
-    limits = quality_rules.thresholds(quality_rules.sketches(shares)).collect()[0]
-    low, high = 4.0, (5 * 5 + 40 * 4) / 45
-    assert limits.mean_word_chars_max - 6 * (high - low) == pytest.approx(low) or limits.mean_word_chars_max - 6 * (high - low) == pytest.approx(high)
-    assert limits.symbol_share_max == 0.08
+def brute_kept(rows, least=200):
+    """Verdicts of (key, lang, source, shares of quality_rules) by exact quantiles."""
+    def q(values, p):
+        v = sorted(values)
+        return v[max(0, math.ceil(p * len(v) - 1e-9) - 1)]
+
+    def pick(group, of):
+        fine, mid, top = ([r for r in of if r["lang"] == group[0] and r["source"] == group[1]], [r for r in of if r["lang"] == group[0]], of)
+        return fine, mid, top, fine if len(fine) >= least else mid if len(mid) >= least else top
+
+    def widest(levels, distance):
+        _, mid, top, own = levels
+        w = max(distance(own), distance(mid) if len(mid) >= least else 0)
+        return w if w > 0 else distance(top)
+
+    passed = [r for r in rows if not r["base_failed"]]
+    groups = {(r["lang"], r["source"]) for r in passed}
+    core = []
+    for g in groups:
+        levels = pick(g, passed)
+        inside = levels[0]
+        for m in quality_rules.SPREAD:
+            middle = q([r[m] for r in levels[3]], 0.5)
+            w = 2 * widest(levels, lambda x: q([r[m] for r in x], 0.75) - q([r[m] for r in x], 0.25))
+            inside = [r for r in inside if middle - w <= r[m] <= middle + w]
+        core += inside
+    limits = {}
+    for g in {(r["lang"], r["source"]) for r in core}:
+        levels = pick(g, core)
+        for m, (_, sides) in quality_rules.METRICS.items():
+            for side in sides:
+                tail, sign = (0.99, 1) if side == "max" else (0.01, -1)
+                w = widest(levels, lambda x: sign * (q([r[m] for r in x], tail) - q([r[m] for r in x], 0.5)))
+                limits[(*g, m, side)] = q([r[m] for r in levels[3]], 0.5) + sign * 4 * w if w > 0 else None
+    kept = set()
+    for r in passed:
+        ok = True
+        for m, (judged, sides) in quality_rules.METRICS.items():
+            for side in sides:
+                at = limits.get((r["lang"], r["source"], m, side))
+                ok &= at is None or (r[judged] <= at if side == "max" else r[judged] >= at)
+        if ok:
+            kept.add(r["doc_id"])
+    return kept, limits
+
+
+def test_quality_verdicts_brute_force(spark):
+    """Groups with different texts get different limits, which exact quantiles confirm, and the verdicts follow."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(1500):
+        lang, source = ("en", "s0") if i < 600 else ("en", f"s{1 + i % 2}") if i < 1400 else ("fr", "s0")
+        letters = (2, 8) if lang == "fr" or source == "s0" else (3, 12)
+        words = ["".join(rnd.choices("aeioulnrst", k=rnd.randint(*letters))) for _ in range(rnd.randint(15, 150))]
+        if i % 11 == 0:
+            words = [w + "#*"[: rnd.randrange(3)] for w in words]
+        if i % 13 == 0:
+            words = words[:8] * (len(words) // 8 + 1)
+        rows.append((i, " ".join(words).capitalize() + "." + "\nsame line" * rnd.choice([0, 0, 0, 1, 2]), lang, source))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = [r.asDict() for r in quality_rules.apply(d).collect()]
+    kept, limits = brute_kept(got)
+    assert {r["doc_id"] for r in got if r["kept"]} == kept and 0 < len(kept) < sum(not r["base_failed"] for r in got)
+    assert sorted(r.doc_id for r in quality_rules.keep(d).collect()) == sorted(kept)
+    found = {(r["lang"], r["source"]): r for r in got}
+    for (lang, source, m, side), at in limits.items():
+        have = found[lang, source][f"{m}_{side}"]
+        assert (have is None) == (at is None) and (at is None or have == pytest.approx(at))
+    for m in ("symbol_noise", "mean_word_chars", "upper_share"):
+        assert len({limits["en", s, m, "max"] for s in ("s0", "s1", "s2")}) > 1
+
+
+def test_quality_of_a_group_of_copies(spark):
+    """A source of near copies has no spread of its own: its other documents are not lost."""
+    rnd = random.Random(3)
+    say = lambda: " ".join("".join(rnd.choices("aeioulnrst", k=rnd.randint(2, 9))) for _ in range(60)).capitalize()
+    copy = say()
+    rows = [(i, copy if i < 700 else say(), "en", "s0" if i < 800 else "s1") for i in range(1300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert quality_rules.keep(d).count() == len(rows)
+
+
+def test_native_plans_hold_no_python(spark, sample, monkeypatch):
+    """Every plan of op3 and op9, those of the files they write included."""
+    plans = []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().toString())
+        return stash(df, name)
+
+    monkeypatch.setattr(quality_rules, "stash", seen)
+    monkeypatch.setattr(decontamination, "stash", seen)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    plans += [df._jdf.queryExecution().toString() for df in (quality_rules.apply(sample), quality_rules.keep(sample), decontamination.apply(sample, bench), decontamination.keep(sample, bench))]
+    assert sum("documents.parquet" in p and "text" in p for p in plans) >= 4
+    assert not any("Python" in p or "Arrow" in p for p in plans)
 
 
 def test_quality_edges(spark, odd, empty):
