@@ -3,30 +3,41 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: object, most: int, text_col: str = "text", key_col: str = "doc_id") -> tuple[list[str | None], np.ndarray]:
-    """Texts and labels of at most ``most`` labelled rows, those with the smallest hash of the id.
-
-    Several labels of one id count as the largest. ``train`` is a condition on
-    the document's id, which is called ``doc_id`` here.
-    """
-    marks = labels.filter(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).alias("__label"))
-    rows = docs.select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("text")).filter(train)
-    # The sample is chosen on ids alone; texts are fetched for it only.
-    chosen = rows.select("doc_id").distinct().join(marks, F.col("doc_id") == F.col("__id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("__id", "__label")
-    got = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "__label").toArrow()
-    order = np.argsort([hash_text(t) for t in got.column(0).to_pylist()], kind="stable") if got.num_rows else np.zeros(0, np.int64)
-    texts, marks_ = got.column(0).to_pylist(), got.column(1).to_numpy()
-    return [texts[i] for i in order], marks_[order].astype(np.float64) if got.num_rows else np.zeros(0)
+#: Most bytes of text in a sample.
+SAMPLE_BYTES = 64 << 20
 
 
-def hash_text(text: str | None) -> int:
-    import zlib
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int, text_col: str = "text", key_col: str = "doc_id", most_bytes: int = SAMPLE_BYTES) -> tuple[list[str | None], np.ndarray]:
+    """Texts and labels of at most ``most`` labelled rows of at most ``most_bytes`` of text in all.
 
-    return zlib.crc32((text or "").encode())
+    Of the labelled ids that ``train``, a condition on ``docs``, admits, those with the smallest hashes
+    are chosen, one row of each: of several rows with one id that with the smallest hash of
+    the text. Of these, in the same order, as many as fit the bytes are
+    fetched. Several labels of one id count as the largest.
+    """
+    key, text = F.col(f"`{key_col}`"), F.col(f"`{text_col}`")
+    marks = labels.filter(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).alias("__label"))
+    rows = docs.filter(train).select(key.alias("__doc"), text.alias("__text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("__h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("__size"))
+    # The sample is chosen on ids, hashes and sizes; texts are fetched for it only.
+    first = rows.groupBy("__doc").agg(F.min(F.struct("__h", "__size")).alias("__first"))
+    chosen = first.join(marks, F.col("__doc") == F.col("__id")).orderBy(F.xxhash64("__doc"), "__doc").limit(most)
+    table = chosen.select(F.col("__doc").alias("id"), "__first.__h", "__first.__size", "__label").toArrow()
+    if not table.num_rows:
+        return [], np.zeros(0)
+    fits = np.cumsum(table.column(2).to_numpy()) <= most_bytes
+    fits[:1] = True
+    table = table.filter(pa.array(fits))
+    picked = docs.sparkSession.createDataFrame(table.select([0, 1]).rename_columns(["__id", "__hash"]))
+    got = rows.join(F.broadcast(picked), (F.col("__doc") == F.col("__id")) & (F.col("__h") == F.col("__hash")), "left_semi").select("__doc", "__text")
+    # Rows equal in id and text come once.
+    texts = dict(zip(*(c.to_pylist() for c in got.dropDuplicates(["__doc"]).toArrow().columns), strict=True))
+    ids = table.column(0).to_pylist()
+    return [texts[i] for i in ids], table.column(3).to_numpy().astype(np.float64)
 
 
 class Sparse:

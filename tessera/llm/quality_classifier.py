@@ -11,8 +11,9 @@ are then moved by the difference of its path's and the global log-odds.
 
 Defined results: null and empty texts have no form and are rejected; null host or
 path is a group of its own; without labels of both kinds all documents with a
-word are kept; repeated rows count each and are judged alike; an empty table gives
-an empty table; extra columns, whatever their names, stay as they are in ``keep``.
+word are kept; texts of any length are read whole; a posterior at the threshold is kept; repeated rows count
+each and are judged alike; an empty table gives an empty table; extra columns, whatever their names, are
+ignored by ``apply`` and stay as they are in ``keep``.
 """
 
 from __future__ import annotations
@@ -124,14 +125,16 @@ def judge(scored: DataFrame, sites: DataFrame, threshold: float) -> DataFrame:
 def apply(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text_col: str = "text", key_col: str = "doc_id", threshold: float = 0.4, sample: int = 8000) -> DataFrame:
     """(doc_id, host, path, logit, site_posterior, posterior, kept) of every document; texts are read once."""
     logit = evidence(docs, labels, text_col, key_col, sample)
-    scored = stash(docs.select(F.col(key_col).alias("doc_id"), host.alias("host"), path.alias("path"), logit.alias("logit")), "evidence")
-    return judge(scored, posteriors(scored), threshold).select("doc_id", "host", "path", "logit", "site_posterior", "posterior", "kept")
+    scored = stash(docs.select(F.col(f"`{key_col}`").alias("doc_id"), host.alias("host"), path.alias("path"), logit.alias("logit")), "evidence")
+    return judge(scored, stash(posteriors(scored), "sites"), threshold).select("doc_id", "host", "path", "logit", "site_posterior", "posterior", "kept")
 
 
 def keep(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text_col: str = "text", key_col: str = "doc_id", threshold: float = 0.4, sample: int = 8000) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns only."""
+    """The rows of ``docs`` that pass, with their own columns only.
+
+    Rows are written with their evidence: the posteriors then read its columns only, and no text is scored twice or shuffled.
+    """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
     logit = evidence(docs, labels, text_col, key_col, sample)
-    # Scored twice, for the sites and for the verdicts: that takes no disk for whole texts.
-    sites = stash(posteriors(stash(docs.select(host.alias("host"), path.alias("path"), logit.alias("logit")), "evidence")), "sites")
-    return judge(docs.select(row, host.alias("host"), path.alias("path"), logit.alias("logit")), sites, threshold).filter("kept").select("__row.*")
+    scored = stash(docs.select(row, host.alias("host"), path.alias("path"), logit.alias("logit")), "evidence")
+    return judge(scored, stash(posteriors(scored), "sites"), threshold).filter("kept").select("__row.*")

@@ -8,8 +8,8 @@ logistic regression on these values is fitted on at most ``sample`` labelled row
 weights and ratios, 4 MB, goes to the tasks, which score every whole text.
 
 Defined results: null and empty texts have no features and get the intercept's
-score; without labels of both kinds every score is 0; null doc_ids are scored and
-are not held out; repeated rows score alike; extra columns are ignored; an empty
+score; texts of any length are scored whole; a score at the threshold is toxic; without labels of
+both kinds every score is 0; null doc_ids are scored and are not held out; repeated rows score alike; extra columns are ignored; an empty
 table gives an empty table.
 """
 
@@ -89,8 +89,8 @@ def train(texts: list[str | None], y: np.ndarray, l2: float = 5e-4) -> Model:
 
 def score(docs: DataFrame, labels: DataFrame, held_out: Column, text_col: str = "text", key_col: str = "doc_id", sample: int = 8000) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; ``held_out`` rows teach nothing."""
-    rows = docs.select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
-    model = train(*labelled_sample(docs.withColumn("__held_out", held_out).filter("not __held_out"), labels, "toxic", F.lit(True), sample, text_col, key_col))
+    rows = docs.select(F.col(f"`{key_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), held_out.alias("held_out"))
+    model = train(*labelled_sample(docs, labels, "toxic", ~held_out, sample, text_col, key_col))
 
     @F.arrow_udf("double")
     def toxic(texts: pa.Array) -> pa.Array:
