@@ -212,10 +212,11 @@ def apply(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", keys
 def keep(docs: DataFrame, text_col: str = "text", keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only, whatever those are named.
 
-    Rows are written with their metrics, without those that the base rule rejects:
-    the sketches then read the metrics' columns only, and no text is counted twice or shuffled.
+    Rows are written with their metrics: the sketches then read the metrics'
+    columns only, and no text is counted twice or shuffled. (A filter before the
+    write would be pushed below the metrics, which it needs.)
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
-    counted = _shares(metrics(docs, text_col, [row, *_names(keys)])).filter(~F.col("base_failed"))
+    counted = _shares(metrics(docs, text_col, [row, *_names(keys)]))
     shares = stash(counted.select("__row", "lang", "source", "base_failed", "symbol_share", *METRICS), "quality")
     return judge(shares, stash(thresholds(shares), "limits")).filter("kept").select("__row.*")
