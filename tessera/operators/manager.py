@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, replace
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,9 @@ from ..sources.store import Store
 from .routing import EPOCHS, as_time, grid_index, micros, route_by_bounds, whole
 
 CHILD = "__child"
+#: How often an insert is tried while other writers commit.
+INSERT_TRIES = 20
+#: The privileges of a table, and interval words that are refused.
 PRIVILEGES = ["DELETE", "INSERT", "REFERENCES", "SELECT", "TRIGGER", "TRUNCATE", "UPDATE"]
 OLD_INTERVAL_WORDS = {"yearly", "quarterly", "monthly", "weekly", "daily", "hourly", "half-hour", "quarter-hour"}
 
@@ -250,23 +254,57 @@ class PartitionManager:
         """Write rows by ``__child``; folder of each child."""
         name = f"data/{uuid.uuid4().hex}"
         df.hint("rebalance", CHILD).write.partitionBy(CHILD).parquet(f"{self.root}/{name}")
-        found = [n for n in self.store.list(name) if n.startswith(f"{CHILD}=")]
-        return {n.removeprefix(f"{CHILD}="): [f"{self.root}/{name}/{n}"] for n in found}
-
-    def insert(self, parent: str, df: DataFrame) -> None:
-        """Append rows through the parent; each goes to its leaf child or to a default."""
-        schema = self._schema(self._set(parent))
-        routed = self.route(parent, df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema)))
-        if routed.filter(F.col(CHILD).isNull()).limit(1).count():
-            raise ValueError(f"rows of {parent} have no child and there is no default")
-        written = self._write_routed(routed)
-        draft = self.registry.draft()
-        self._append(draft, parent, written)
-        self._commit(draft)
+        # Spark writes some characters of a folder's name as %XX.
+        found = {unquote(n.removeprefix(f"{CHILD}=")): n for n in self.store.list(name) if n.startswith(f"{CHILD}=")}
+        return {child: [f"{self.root}/{name}/{n}"] for child, n in found.items()}
+
+    def insert(self, parent: str, df: DataFrame, mark: str | None = None) -> bool:
+        """Append rows through the parent; each goes to its leaf child or to a default.
+
+        Rows are routed by the state that the commit then replaces. Where another
+        writer was first, the folders are listed in its state if the set's children are the
+        same there, else the rows are routed again. With a ``mark`` the rows are
+        taken once: False if the job log has it.
+        """
+        written, leaves, taken = {}, None, None
+        for _ in range(INSERT_TRIES):
+            draft = self.registry.draft()
+            if mark is not None and any(r["message"] == mark for r in draft.log):
+                taken = True
+                break
+            now = [(c.table, c.lo, c.hi) for _, c in self._leaves(parent, draft)]
+            if now != leaves:
+                self._discard(written)
+                schema = self._schema(self._set(parent, draft))
+                routed = self.route(parent, df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema)), draft)
+                if routed.filter(F.col(CHILD).isNull()).limit(1).count():
+                    raise ValueError(f"rows of {parent} have no child and there is no default")
+                written, leaves = self._write_routed(routed), now
+            self._append(draft, parent, written)
+            if mark is not None:
+                draft.log.append({"job_id": len(draft.log) + 1, "step": "stream", "table": parent, "status": "OK", "message": mark, "at": self.now()})
+            try:
+                self._commit(draft)
+                return True
+            except Conflict:
+                continue
+        self._discard(written)
+        if taken:
+            return False
+        raise Conflict(f"{parent}: no commit in {INSERT_TRIES} tries")
+
+    def _discard(self, written: dict[str, list[str]]) -> None:
+        """Delete folders that no state lists."""
+        for folders in written.values():
+            for f in folders:
+                self.store.delete(f)
 
     def _append(self, draft: State, parent: str, written: dict[str, list[str]]) -> None:
-        for _, c in self._leaves(parent, draft):
-            c.data += written.get(c.table, [])
+        leaves = {c.table: c for _, c in self._leaves(parent, draft)}
+        if lost := written.keys() - leaves.keys():
+            raise Conflict(f"{parent} has no child {sorted(lost)[0]} for rows that were routed to it")
+        for table, folders in written.items():
+            leaves[table].data += folders
 
     def register_table(self, table: str, df: DataFrame) -> None:
         """A table outside of sets, as source or target of moves."""
@@ -412,6 +450,16 @@ class PartitionManager:
     def check_subpartition_limits(self, parent: str) -> tuple:
         return P.limits(self.state, self._set(parent))
 
+    def _check_sub_sets(self, parent: str) -> None:
+        """Sets among siblings must have the same settings for their children; datetime patterns of older versions are refused."""
+        s, above = self._set(parent), P.parent_of(self.state, parent)
+        if s.config.datetime_string not in (None, "YYYYMMDD", "YYYYMMDD_HH24MISS"):
+            raise ValueError(f"{parent} has suffixes of an older form: {s.config.datetime_string}")
+        if s.sub is not None and above:
+            brothers = [self.state.sets[c.table].sub for c in above[0].children.values() if c.table in self.state.sets and self.state.sets[c.table].sub]
+            if len({tuple(str(b.get(k)) for k in SUB_FIELDS) for b in brothers}) > 1:
+                raise ValueError(f"sets beside {parent} have different settings for their children")
+
     def check_subpart_sameconfig(self, parent: str) -> DataFrame:
         """Distinct settings of the sets among a set's siblings; more than one row is an error in maintenance."""
         above = P.parent_of(self.state, parent)
@@ -559,7 +607,7 @@ class PartitionManager:
             left = rows.filter(~inside)
             source.data = [] if left.limit(1).count() == 0 else self._write(left)
             self._append(draft, parent, written)
-            n = sum(self._read(f, self._schema(s)).count() for f in written.values())
+            n = self._read([f for fs in written.values() for f in fs], self._schema(s)).count()
             try:
                 self._commit(draft)
                 return n
@@ -608,6 +656,14 @@ class PartitionManager:
                 out.append((max(lo, top(end, -1)), end))
         return out
 
+    def plan_batches(self, parent: str, batches: int, interval=None, order: str = "ASC", source_table: str | None = None) -> list[tuple]:
+        """The half-open value ranges that the next moves from the default or a source would take; nothing moves."""
+        s = self._set(parent)
+        source = self.state.tables[source_table] if source_table else P.default_of(s)
+        schema = T.StructType.fromJson(source.properties["columns"]) if source_table else self._schema(s)
+        step = interval if interval is None else Interval.parse(interval) if s.kind == "time" else int(interval)
+        return self._spans(s, self._read(source.data, schema), batches, step, order)
+
     def partition_data_proc(self, parent: str, loop_count: int | None = None, interval=None, lock_wait: float = 0, lock_wait_tries: int = 10, wait: float = 0, order: str = "ASC", source_table: str | None = None, ignored_columns: list[str] | None = None, quiet: bool = True) -> int:
         """Move everything, one commit a loop; without a loop count and interval in one pass."""
         s = self._set(parent)
@@ -632,7 +688,20 @@ class PartitionManager:
         """Move rows from children, the default first, to ``target``; empty children are detached or dropped.
 
         Each loop takes the rows within one interval from a child's least value on. Returns (children undone, rows moved).
+        While other writers commit, it is tried again after ``lock_wait / 5`` seconds, up to six times.
         """
+        if drop_cascade:
+            raise ValueError("nothing depends on children here, so there is nothing to drop with them")
+        for attempt in range(6):
+            try:
+                return self._undo(parent, target, loop_count, batch_interval, keep_table, ignored_columns)
+            except Conflict:
+                if attempt == 5:
+                    raise
+                time.sleep(lock_wait / 5)
+        raise AssertionError
+
+    def _undo(self, parent, target, loop_count, batch_interval, keep_table, ignored_columns) -> tuple[int, int]:
         draft = self.registry.draft()
         s = self._set(parent, draft)
         if any(c.table in draft.sets for c in s.children.values() if c.state == ATTACHED):
@@ -683,8 +752,7 @@ class PartitionManager:
         return undone, rows_moved
 
     def undo_partition_proc(self, parent: str, target: str, loop_count: int | None = None, interval=None, keep_table: bool = True, wait: float = 0, **options) -> tuple[int, int]:
-        if loop_count is None and not wait:
-            return self.undo_partition(parent, target, 1 << 60, interval, keep_table, **options)
+        """As ``undo_partition`` until nothing is left or ``loop_count`` loops are done, one commit a loop."""
         undone = rows = loops = 0
         while parent in self.state.sets and (loop_count is None or loops < loop_count):
             a, b = self.undo_partition(parent, target, 1, interval, keep_table, **options)
@@ -730,6 +798,7 @@ class PartitionManager:
 
     def _maintain(self, name: str) -> int:
         s = self._set(name)
+        self._check_sub_sets(name)
         if s.config.retention is not None:
             (self.drop_partition_time if s.kind == "time" else self.drop_partition_id)(name)
         draft = self.registry.draft()

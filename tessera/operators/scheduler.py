@@ -6,7 +6,6 @@ import threading
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from ..sources.registry import Conflict
 from .manager import PartitionManager
 
 
@@ -31,7 +30,7 @@ class Maintainer:
         for m in self.managers:
             try:
                 out.append(m.run_maintenance_proc(self.settings.maintenance_wait, self.settings.analyze, self.settings.jobmon))
-            except (Conflict, ValueError, KeyError) as e:
+            except Exception as e:  # noqa: BLE001  whatever fails, of Spark or of the store, the next run goes on
                 self.report(f"{m.root}: {e}")
                 out.append(e)
         return out

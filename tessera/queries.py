@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.boundaries import IdGrid, TimeGrid, check_name_length, format_suffix, initial_ids, initial_times
+from .functions.boundaries import IdGrid, TimeGrid, check_name_length, format_suffix, initial_ids, initial_times, truncate
 from .functions.intervals import Interval, add
 from .operators.manager import PartitionManager, duplicates
 from .operators.routing import as_time, century_start, child_start, grid_index, route, route_by_bounds, suffix_column
 from .plans import planner as P
+from .sources.store import work_dir
 
 NOW = datetime(2024, 1, 15, 12)
 DAY = TimeGrid(Interval.parse("1 day"), datetime(2024, 1, 1))
@@ -34,8 +35,7 @@ def _name(table: str, suffix: Column) -> Column:
 
 def _manager(spark: SparkSession, now: datetime = NOW) -> PartitionManager:
     """A manager on a fresh folder, shared on a cluster."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    return PartitionManager(spark, f"{top}/sets-{datetime.now().timestamp()}", lambda: now)
+    return PartitionManager(spark, f"{work_dir(spark)}/sets-{uuid.uuid4().hex}", lambda: now)
 
 
 # --- routing ---------------------------------------------------------------------
@@ -113,43 +113,96 @@ def premake_id(spark, sf_dir):
     return spark.createDataFrame([(x, x + 1000) for x in initial_ids(1000, top, 4, None)], "child_start_id bigint, child_end_id bigint")
 
 
+def _monthly(spark, df: DataFrame, **options) -> PartitionManager:
+    """orders by month from the first on."""
+    m = _manager(spark)
+    lo, hi = df.agg(F.min("o_orderdate").cast("timestamp_ntz"), F.max("o_orderdate").cast("timestamp_ntz")).head()
+    m.now = lambda: hi
+    m.create_parent("t.orders", "o_orderdate", "1 month", df.schema, start_partition=truncate(lo, "month"), premake=1, df=df, **options)
+    return m
+
+
+def _thousands(spark, df: DataFrame) -> PartitionManager:
+    """orders by ids of 1,000; children are made for the rows that the default got."""
+    m = _manager(spark)
+    m.create_parent("t.orders", "o_orderkey", "1000", df.schema, start_partition=0, premake=1, df=df)
+    m.partition_data_proc("t.orders")
+    return m
+
+
+def _starts(spark, m: PartitionManager, tables: list[str]) -> DataFrame:
+    found = [m.show_partition_info(t) for t in tables]
+    kind, name = ("timestamp_ntz", "child_start_time") if m.state.sets["t.orders"].kind == "time" else ("bigint", "child_start_id")
+    return spark.createDataFrame([(i[name],) for i in found], f"{name} {kind}")
+
+
 def retention_time(spark, sf_dir):
-    start = child_start(F.col("o_orderdate"), MONTH)
-    kids = _table(spark, sf_dir, "orders").select(start.alias("child_start_time")).distinct()
-    end = F.add_months("child_start_time", F.lit(1)).cast("timestamp_ntz")
-    limit = add(datetime(2001, 8, 1), Interval.parse("3 years"), -1)
-    return kids.filter(end < F.lit(limit))
+    """Children with rows that a run of retention three years before August 2001 takes."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    m = _monthly(spark, orders)
+    held = {c.table for c in m.state.sets["t.orders"].children.values() if c.data}
+    info = {t: m.show_partition_info(t)["child_start_time"] for t in m.children("t.orders")}
+    m.drop_partition_time("t.orders", "3 years", reference_timestamp=datetime(2001, 8, 1))
+    left = set(m.children("t.orders"))
+    return spark.createDataFrame([(x,) for t, x in info.items() if t in held and t not in left], "child_start_time timestamp_ntz")
 
 
 def retention_id(spark, sf_dir):
-    orders = _table(spark, sf_dir, "orders")
-    kids = orders.select(child_start(F.col("o_orderkey"), IdGrid(1000)).alias("child_start_id")).distinct()
-    top = orders.agg(F.max("o_orderkey")).head()[0]
-    return kids.filter(F.lit(5000) <= F.lit(top) - (F.col("child_start_id") + 1000))
+    m = _thousands(spark, _table(spark, sf_dir, "orders").select("o_orderkey"))
+    info = {t: m.show_partition_info(t)["child_start_id"] for t in m.children("t.orders")}
+    held = {c.table for c in m.state.sets["t.orders"].children.values() if c.data}
+    m.drop_partition_id("t.orders", 5000)
+    left = set(m.children("t.orders"))
+    return spark.createDataFrame([(x,) for t, x in info.items() if t in held and t not in left], "child_start_id bigint")
 
 
 def gap_fill_time(spark, sf_dir):
-    kept = _table(spark, sf_dir, "orders").filter(F.month("o_orderdate") % 4 != 0)
-    cells = kept.select(grid_index(F.col("o_orderdate"), MONTH).alias("cell")).distinct()
-    missing = _missing_cells(cells)
-    return missing.select(F.add_months(F.lit(MONTH.anchor.date()), F.col("cell").cast("int")).cast("timestamp_ntz").alias("child_start_time"))
+    """Children that are made between those that the data asked for."""
+    kept = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").filter(F.month("o_orderdate") % 4 != 0)
+    m = _manager(spark)
+    first = kept.agg(F.min("o_orderdate").cast("timestamp_ntz")).head()[0]
+    m.now = lambda: first
+    m.create_parent("t.orders", "o_orderdate", "1 month", kept.schema, start_partition=truncate(first, "month"), premake=1, df=kept)
+    return _filled(spark, m)
 
 
 def gap_fill_id(spark, sf_dir):
-    kept = _table(spark, sf_dir, "orders").filter((F.floor(F.col("o_orderkey") / 1000) % 5) != 3)
-    cells = kept.select(grid_index(F.col("o_orderkey"), IdGrid(1000)).alias("cell")).distinct()
-    return _missing_cells(cells).select((F.col("cell") * 1000).alias("child_start_id"))
+    kept = _table(spark, sf_dir, "orders").select("o_orderkey").filter((F.floor(F.col("o_orderkey") / 1000) % 5) != 3)
+    m = _manager(spark)
+    m.create_parent("t.orders", "o_orderkey", "1000", kept.schema, start_partition=0, premake=1, df=kept)
+    return _filled(spark, m)
 
 
-def _missing_cells(cells: DataFrame) -> DataFrame:
-    """Numbers between neighbours; there is one row a child."""
-    after = F.lead("cell").over(Window.orderBy("cell"))
-    return cells.withColumn("after", after).filter("after > cell + 1").select(F.explode(F.sequence(F.col("cell") + 1, F.col("after") - 1)).alias("cell"))
+def _filled(spark, m: PartitionManager) -> DataFrame:
+    m.partition_data_proc("t.orders")
+    # Children that were made beforehand and got no rows are gaps like others.
+    s = m.state.sets["t.orders"]
+    empty = {c.table for c in P.children(s) if not c.data}
+    held = [c.lo for c in P.children(s) if c.data]
+    before = set(m.children("t.orders"))
+    m.partition_gap_fill("t.orders")
+    made = [t for t in m.children("t.orders") if t not in before or t in empty]
+    found = _starts(spark, m, made)
+    name = found.columns[0]
+    return found.filter(F.col(name).between(F.lit(min(held)), F.lit(max(held))))
 
 
 def apply_constraints(spark, sf_dir):
-    start = child_start(F.col("o_orderdate"), MONTH)
-    return _table(spark, sf_dir, "orders").groupBy(start.alias("child_start_time")).agg(F.min("o_orderkey").alias("min_value"), F.max("o_orderkey").alias("max_value"))
+    """Least and greatest order key that each monthly child's constraint holds."""
+    m = _monthly(spark, _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), constraint_cols=["o_orderkey"])
+    for t in m.children("t.orders"):
+        m.apply_constraints("t.orders", t)
+    rows = [(c.lo, *c.constraints["o_orderkey"][:2]) for c in P.children(m.state.sets["t.orders"]) if c.constraints]
+    return spark.createDataFrame(rows, "child_start_time timestamp_ntz, min_value bigint, max_value bigint")
+
+
+def insert_odd_name(spark, sf_dir):
+    """Rows of a set whose name has characters that file systems and Spark write otherwise."""
+    m = _manager(spark)
+    df = _table(spark, sf_dir, "events").select("event_id", "ts")
+    m.create_parent("t.my#ev:en%ts", "ts", "1 day", df.schema, start_partition=datetime(2024, 1, 3), premake=4, df=df)
+    rows = m.route("t.my#ev:en%ts", m.scan("t.my#ev:en%ts"))
+    return rows.groupBy(F.col("__child").alias("child")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def constraint_pruned_scan(spark, sf_dir):
@@ -193,18 +246,26 @@ def show_partition_info(spark, sf_dir):
 
 
 def show_partition_name(spark, sf_dir):
-    """The vectorised form: each value's child and whether it exists."""
-    starts, _ = initial_times(Interval.parse("1 day"), NOW, 4, datetime(2024, 1, 3), None)
-    start = child_start(F.col("ts"), DAY)
-    t = _table(spark, sf_dir, "events").select(_name("events", suffix_column(start, "YYYYMMDD")).alias("partition_table"), start.between(F.lit(starts[0]), F.lit(starts[-1])).alias("table_exists"))
-    return t.distinct()
+    """The child of each day that occurs, and whether it exists."""
+    m = _manager(spark)
+    events = _table(spark, sf_dir, "events")
+    m.create_parent("t.events", "ts", "1 day", events.schema, start_partition=datetime(2024, 1, 3), premake=4)
+    days = events.groupBy(F.date_trunc("day", "ts")).agg(F.max("ts").cast("timestamp_ntz")).collect()
+    found = [m.show_partition_name("t.events", r[1]) for r in days]
+    return spark.createDataFrame([(f["partition_table"], f["table_exists"]) for f in found], "partition_table string, table_exists boolean")
 
 
 def partition_data_batches(spark, sf_dir, order="ASC"):
-    """One batch for each cell that holds rows, from the lowest."""
-    cells = _table(spark, sf_dir, "orders").groupBy(grid_index(F.col("o_orderkey"), IdGrid(1000)).alias("cell")).agg(F.count(F.lit(1)).alias("n_rows"))
-    by = F.col("cell").asc() if order == "ASC" else F.col("cell").desc()
-    return cells.select(F.row_number().over(Window.orderBy(by)).cast("bigint").alias("batch_no"), (F.col("cell") * 1000).alias("lo"), (F.col("cell") * 1000 + 1000).alias("hi"), "n_rows")
+    """The batches by which a source table moves to a set, and the rows that each child then has."""
+    m = _manager(spark)
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey")
+    m.create_parent("t.orders", "o_orderkey", "1000", orders.schema, start_partition=0, premake=1)
+    m.register_table("t.source", orders)
+    spans = m.plan_batches("t.orders", 1_000_000, order=order, source_table="t.source")
+    m.partition_data_proc("t.orders", order=order, source_table="t.source")
+    counts = m.route("t.orders", m.scan("t.orders")).groupBy("__child").agg(F.count(F.lit(1)).alias("n_rows"))
+    planned = spark.createDataFrame([(i + 1, lo, hi, f"t.orders_p{lo}") for i, (lo, hi) in enumerate(spans)], "batch_no bigint, lo bigint, hi bigint, child string")
+    return planned.join(counts, F.col("child") == F.col("__child")).select("batch_no", "lo", "hi", "n_rows")
 
 
 def partition_data_batches_desc(spark, sf_dir):
@@ -254,18 +315,35 @@ GRANTS = [("parent", "ann", "INSERT"), ("parent", "ann", "SELECT"), ("parent", "
 
 
 def privilege_diff(spark, sf_dir):
-    """Grants to add or remove so that the child's are the parent's."""
-    g = spark.createDataFrame(GRANTS, "tbl string, grantee string, privilege string")
-    sets = g.groupBy("grantee").agg(*(F.collect_set(F.when(F.col("tbl") == t, F.col("privilege"))).alias(t) for t in ("parent", "child")))
-    diff = sets.select("grantee", F.array_join(F.array_sort(F.array_except("parent", "child")), ",").alias("to_grant"), F.array_join(F.array_sort(F.array_except("child", "parent")), ",").alias("to_revoke"))
-    return diff.filter("to_grant <> '' or to_revoke <> ''")
+    """Grants that a child lacks or has beyond its parent's, and whether they are the same once applied."""
+    m = _manager(spark)
+    m.create_parent("t.events", "ts", "1 day", _table(spark, sf_dir, "events").schema)
+    child = m.children("t.events")[0]
+    for where, who, what in GRANTS:
+        m.grant("t.events" if where == "parent" else child, who, [what])
+    before = m.table_privs().filter(F.concat_ws(".", "table_schema", "table_name").isin("t.events", child))
+    diff = (
+        before.groupBy("grantee", "privilege_type")
+        .agg(F.bool_or(F.col("table_name") == "events").alias("wanted"), F.bool_or(F.col("table_name") != "events").alias("has"))
+        .groupBy("grantee")
+        .agg(*(F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("privilege_type")))), ",").alias(n) for n, c in (("to_grant", F.col("wanted") & ~F.col("has")), ("to_revoke", ~F.col("wanted") & F.col("has")))))
+        .filter("to_grant <> '' or to_revoke <> ''")
+    )
+    told = {r.grantee for r in m.apply_privileges("t.events", child).collect()}
+    return diff.filter(F.col("grantee").isin(sorted(told)))
 
 
-SUBS = [("t.a_p1", "1 day", 4), ("t.a_p2", "1 day", 4), ("t.a_p3", "1 week", 4)]
+SUBS = [("t.a_p0", "1 day", 4), ("t.a_p1000", "1 day", 4), ("t.a_p2000", "7 days", 4)]
 
 
 def subpart_sameconfig(spark, sf_dir):
-    return spark.createDataFrame(SUBS, "sub_parent string, sub_partition_interval string, sub_premake int").select("sub_partition_interval", "sub_premake").distinct()
+    """Distinct settings of the sets beside one another."""
+    m = _manager(spark)
+    m.create_parent("t.a", "o_orderkey", "1000", _table(spark, sf_dir, "orders").schema, start_partition=0, premake=2)
+    m.create_sub_parent("t.a", "o_orderdate", "1 month", declarative_check="yes")
+    for child, (_, interval, premake) in zip(m.children("t.a"), SUBS, strict=True):
+        m.create_sub_parent(child, "o_orderdate", interval, premake=premake, declarative_check="yes")
+    return m.check_subpart_sameconfig(m.children("t.a")[0]).select("sub_partition_interval", F.col("sub_premake").cast("int").alias("sub_premake"))
 
 
 def stream_route_daily(spark, sf_dir):
@@ -289,7 +367,7 @@ def stream_tumbling_window(spark, sf_dir):
 
 ALL = [
     route_time_daily, route_time_weekly_join, route_time_30sec, route_time_century, route_time_monthly, route_id_range, route_id_list, route_numeric, route_epoch_ms, route_subpartition,
-    premake_time, premake_id, retention_time, retention_id, gap_fill_time, gap_fill_id, apply_constraints, constraint_pruned_scan, check_unique, check_default, show_partitions, show_partition_info,
+    premake_time, premake_id, retention_time, retention_id, gap_fill_time, gap_fill_id, apply_constraints, insert_odd_name, constraint_pruned_scan, check_unique, check_default, show_partitions, show_partition_info,
     show_partition_name, partition_data_batches, partition_data_batches_desc, undo_batches, current_cell, run_maintenance, default_replay, undo_partition, privilege_diff, subpart_sameconfig,
     stream_route_daily, stream_tumbling_window,
 ]
@@ -329,6 +407,7 @@ def oracle_sql() -> dict[str, str]:
         "gap_fill_time": "with k as (select distinct date_trunc('month',o_orderdate)::timestamp c from orders where month(o_orderdate)%4 <> 0), b as (select min(c) a, max(c) z from k) select x::timestamp child_start_time from b, generate_series(a, z, interval 1 month) t(x) where x not in (select c from k)",
         "gap_fill_id": "with k as (select distinct o_orderkey-o_orderkey%1000 c from orders where (o_orderkey//1000)%5 <> 3), b as (select min(c) a, max(c) z from k) select x child_start_id from (select unnest(generate_series(a, z, 1000)) x from b) where x not in (select c from k)",
         "apply_constraints": "select date_trunc('month',o_orderdate)::timestamp child_start_time, min(o_orderkey) min_value, max(o_orderkey) max_value from orders group by 1",
+        "insert_odd_name": f"select case when {_BOUNDS} then 't.my#ev:en%ts_p'||strftime(ts,'%Y%m%d') else 't.my#ev:en%ts_default' end child, count(*) n_rows from events group by 1",
         "constraint_pruned_scan": "select count(*) n_rows, sum(l_quantity) sum_quantity from lineitem where l_orderkey >= 5000 and l_orderkey < 40000 and l_shipdate between timestamp '1996-01-01' and timestamp '1996-12-31'",
         "check_unique": "select user_id, event_type, count(*) n_rows from events group by 1,2 having count(*) > 1",
         "check_default": f"select 't.events_default' default_table, count(*) n_rows from events where not ({_BOUNDS}) having count(*) > 0",

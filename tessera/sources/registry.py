@@ -162,13 +162,19 @@ class Registry:
         self.version, self.state = self._latest()
 
     def _latest(self) -> tuple[int, State]:
+        """The newest number and the newest state that can be read.
+
+        Files are made whole (``Store.create``), so one that can't be read was
+        damaged: the state before it holds, and the next commit takes the number past it.
+        """
         names = [n for n in self.store.list("registry") if n.endswith(".json")]
+        newest = int(names[-1].removesuffix(".json")) if names else 0
         for name in reversed(names):
             try:
-                return int(name.removesuffix(".json")), loads(self.store.read(f"registry/{name}"))
-            except json.JSONDecodeError:
-                continue  # its writer is still at it or was lost: the version before holds
-        return 0, State()
+                return newest, loads(self.store.read(f"registry/{name}"))
+            except (json.JSONDecodeError, KeyError, TypeError):
+                continue
+        return newest, State()
 
     def reload(self) -> State:
         self.version, self.state = self._latest()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -28,18 +31,28 @@ class Store:
             stream.close()
 
     def create(self, name: str, text: str) -> bool:
-        """Write a new file whole; False if there is one already."""
-        target = self._path(name)
+        """Write a new file whole; False if there is one already.
+
+        The text goes to a temporary name first and is then renamed to a name that
+        must be free, so a writer that is lost leaves no half of a file.
+        """
+        target, draft = self._path(name), self._path(f"{name}.{uuid.uuid4().hex}.tmp")
         if self._fs.exists(target):
             return False
+        stream = self._fs.create(draft, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        context = self._hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        rename = getattr(self._hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.NONE
         try:
-            stream = self._fs.create(target, False)
+            context.rename(self._fs.makeQualified(draft), self._fs.makeQualified(target), options)
         except Exception as e:
+            self._fs.delete(draft, False)
             if "FileAlreadyExists" in str(e) or "already exists" in str(e):
                 return False
             raise
-        stream.write(bytearray(text.encode()))
-        stream.close()
         return True
 
     def delete(self, name: str) -> None:
@@ -47,3 +60,13 @@ class Store:
 
     def make_dir(self, name: str) -> None:
         self._fs.mkdirs(self._path(name))
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where all run on this machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top:
+        return top.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tessera-")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,30 +10,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.manager import PartitionManager
+from ..sources.store import Store, work_dir
+
+
+def take(manager: PartitionManager, parent: str, batch: DataFrame, query: str, number: int, maintain: bool = True) -> bool:
+    """Route one micro-batch into a set, once: a batch of the same query and number is known by its mark in the job log and skipped."""
+    if batch.isEmpty() or not manager.insert(parent, batch, f"stream-{parent}-{query}-{number}"):
+        return False
+    if maintain:
+        manager.run_maintenance(parent)
+    return True
 
 
 def ingest(manager: PartitionManager, parent: str, stream: DataFrame, checkpoint: str, maintain: bool = True, **trigger):
     """Start a query that routes each micro-batch into a set; maintenance follows, so children stay ahead of the data.
 
-    A batch that is run again after a failure is known by its number and skipped.
+    A batch that is run again after a failure is skipped. Batches are told apart by
+    the id that Spark keeps in the checkpoint, so streams with checkpoints of their own don't meet.
     """
+    store = Store(manager.spark, checkpoint)
 
-    def take(batch: DataFrame, number: int) -> None:
-        mark = f"stream-{parent}-{number}"
-        if any(r["step"] == "stream" and r["message"] == mark for r in manager.registry.reload().log):
-            return
-        if batch.isEmpty():
-            return
-        draft_rows = manager.route(parent, batch)
-        written = manager._write_routed(draft_rows)
-        draft = manager.registry.draft()
-        manager._append(draft, parent, written)
-        draft.log.append({"job_id": len(draft.log) + 1, "step": "stream", "table": parent, "status": "OK", "message": mark, "at": manager.now()})
-        manager._commit(draft)
-        if maintain:
-            manager.run_maintenance(parent)
-
-    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    def run(batch: DataFrame, number: int) -> None:
+        take(manager, parent, batch, json.loads(store.read("metadata"))["id"], number, maintain)
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema: T.StructType) -> DataFrame:
@@ -48,8 +48,7 @@ def ingest_files(manager: PartitionManager, parent: str, folder: str, pattern: s
 
 def windowed_counts(spark: SparkSession, folder: str, pattern: str, schema: T.StructType, interval: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Rows of each tumbling window of a file stream, whole once the stream has ended; written to the shared folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    path = f"{top}/windows-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/windows-{uuid.uuid4().hex}"
     stream = file_stream(spark, folder, pattern, schema).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = stream.withWatermark("ts", late).groupBy(F.window("ts", interval).alias("w")).agg(F.count(F.lit(1)).alias("n_rows"))
 
