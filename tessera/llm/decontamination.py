@@ -9,13 +9,15 @@ the window is compared at the starts that remain. Words of a document inside any
 occurrence are hit. ``near`` finds documents in which a window's terms stand
 within a given distance of its rarest one, in any order.
 
-The windows are written to the shared folder first and counted: up to MOST_TERMS
-distinct terms, they are broadcast; beyond, the tokens are joined by shuffle.
+The windows are written to the shared folder first and counted: up to MOST_WINDOWS
+they, their terms and anchors are broadcast; beyond, tokens are joined by shuffle as (term,
+document, position) only, and a document's words are fetched where both lists of a window meet.
 
 Defined results: null and empty texts have no words and no hit; null items and
 items without words have no windows; a null item_id counts as no item in n_items
 and items_sha256 but its words are hit; rows with the same doc_id are judged by their own
-texts; repeated rows are judged alike; extra columns are ignored; empty tables
+texts; texts of any length are read whole; of equally rare terms those first in order of their
+letters are taken, which changes no result; repeated rows are judged alike; extra columns are ignored; empty tables
 give an empty result or no hits.
 """
 
@@ -29,7 +31,8 @@ from .common import ascii_lower, stash
 #: What stands between words, after A-Z are lower-cased and before.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-MOST_TERMS = 2_000_000
+#: Most windows (13 words each) that are broadcast.
+MOST_WINDOWS = 200_000
 
 
 def words(text: str) -> Column:
@@ -83,18 +86,29 @@ def anchors(phrases: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame, reach: int, small: bool) -> DataFrame:
-    """(term, doc_id, h, pos, around): postings of ``terms`` with the words up to ``reach`` before and after."""
-    hit = _tokens(docs).join(_small(terms, small), "term", "left_semi")
+    """(term, doc_id, h, pos) of ``terms``; if ``small`` also the words up to ``reach`` before and after, ``around`` from ``from_pos`` on."""
+    if not small:
+        return _tokens(docs).select("term", "doc_id", "h", "pos").join(terms, "term", "left_semi")
+    return _around(_tokens(docs).join(F.broadcast(terms), "term", "left_semi"), reach, "term", "doc_id", "h", "pos")
+
+
+def _around(hit: DataFrame, reach: int, *keep: str) -> DataFrame:
     start = F.greatest(F.col("pos") - reach, F.lit(0))
     around = F.slice("words", start + 1, F.col("pos") - start + reach + 1)
-    return hit.select("term", "doc_id", "h", "pos", start.alias("from_pos"), around.alias("around"))
+    return hit.select(*keep, start.alias("from_pos"), around.alias("around"))
+
+
+def _with_words(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """``found`` (doc_id, h, ...) with the documents' words."""
+    texts = docs.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__hash"), words("text").alias("words"))
+    return found.join(texts, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("h") == F.col("__hash"))).drop("__doc", "__hash")
 
 
 def _prepared(docs: DataFrame, items: DataFrame, width: int) -> tuple[DataFrame, DataFrame, bool]:
     """Windows and anchors, written, and whether they are few."""
     cut = stash(windows(items, width), "windows")
     terms = stash(cut.select(F.explode("phrase").alias("term")).distinct(), "terms")
-    small = terms.count() <= MOST_TERMS
+    small = cut.count() <= MOST_WINDOWS
     counts = stash(term_counts(docs, terms, small), "termcounts")
     return cut, stash(anchors(cut.select("phrase", "length").distinct(), counts), "anchors"), small
 
@@ -109,6 +123,9 @@ def matches(docs: DataFrame, anchored: DataFrame, width: int, small: bool) -> Da
     ]
     rare, other = lists[0], lists[1].select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), F.col("start").alias("s2"), F.col("phrase").alias("p2"))
     both = rare.join(other, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")) & (F.col("start") == F.col("s2")) & (F.col("phrase") == F.col("p2")), "left_semi")
+    if not small:
+        same = F.slice("words", F.greatest("start", F.lit(0)) + 1, F.col("length")) == F.col("phrase")
+        return _with_words(both.filter("start >= 0").select("doc_id", "h", "start", "length", "phrase").distinct(), docs).filter(same).drop("words").distinct()
     at = F.col("start") - F.col("from_pos")
     found = both.filter((at >= 0) & (F.slice("around", F.greatest(at, F.lit(0)) + 1, F.col("length")) == F.col("phrase")))
     return found.select("doc_id", "h", "start", "length", "phrase").distinct()
@@ -119,6 +136,7 @@ def near(docs: DataFrame, items: DataFrame, width: int = 13, within: int = 20, t
     rows = _rows(docs, text_col, key_col)
     cut, anchored, small = _prepared(rows, items, width)
     index = postings(rows, anchored.select(F.col("term1").alias("term")).distinct(), within, small)
+    index = index if small else _around(_with_words(index, rows), within, "term", "doc_id")
     pairs = index.join(_small(anchored.select("phrase", F.col("term1").alias("term")), small), "term")
     found = pairs.filter(F.size(F.array_except("phrase", "around")) == 0).select("doc_id", "phrase").distinct()
     return found.join(cut.select("item_id", "phrase"), "phrase").select("doc_id", "item_id").distinct()

@@ -142,7 +142,10 @@ def brute_hits(text, items):
     return len(w), len(covered), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(covered) and 20 * len(covered) >= len(w)
 
 
-def test_decontamination_brute_force(spark):
+@pytest.mark.parametrize("most", [decontamination.MOST_WINDOWS, 0])
+def test_decontamination_brute_force(spark, monkeypatch, most):
+    """The windows broadcast, and joined by shuffle."""
+    monkeypatch.setattr(decontamination, "MOST_WINDOWS", most)
     rnd = random.Random(3)
     vocab = [f"w{i}" for i in range(60)] + ["the"] * 40
     say = lambda n: [rnd.choice(vocab) for _ in range(n)]
@@ -165,6 +168,14 @@ def test_decontamination_brute_force(spark):
     assert kept == sorted(i for i, t in rows if not brute_hits(t, items)[4])
 
 
+def test_shuffled_postings_carry_no_words(spark):
+    d = decontamination._rows(docs(spark, [(1, "a b c")]), "text", "doc_id")
+    terms = spark.createDataFrame([("a",)], "term string")
+    assert decontamination.postings(d, terms, 12, False).columns == ["term", "doc_id", "h", "pos"]
+    plan = decontamination.postings(d, terms, 12, False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" in plan and "words" not in plan.split("Generate")[0]
+
+
 def test_decontamination_edges(spark, odd, empty):
     bench = spark.createDataFrame([(1, "null id")], "item_id long, text string")
     rows = decontamination.apply(odd, bench).collect()
@@ -174,7 +185,9 @@ def test_decontamination_edges(spark, odd, empty):
     assert {r.n_hit for r in decontamination.apply(odd, bench.limit(0)).collect()} == {0}
 
 
-def test_proximity(spark):
+@pytest.mark.parametrize("most", [decontamination.MOST_WINDOWS, 0])
+def test_proximity(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "MOST_WINDOWS", most)
     bench = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
     rows = docs(spark, [(1, "blue x red y green"), (2, "blue " + "x " * 30 + "red green"), (3, "red green")])
     assert [(r.doc_id, r.item_id) for r in decontamination.near(rows, bench, within=5).collect()] == [(1, 1)]
