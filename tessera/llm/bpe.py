@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .pretokens import IdCache, Vocabulary, cut, gather, read_vocabulary, run_sums, vocabulary
 
 BOUNDARY, GONE = -1, -2
+#: Pre-tokens that one index holds, bytes of text cut up at once, and entries of a worker's cache.
+INDEX_PIECES, CHUNK_BYTES, CACHE_ENTRIES = 8_000, 1_000_000, 150_000
 
 
 class PairIndexEncoder:
@@ -40,6 +42,10 @@ class PairIndexEncoder:
 
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the pieces, one after another, and how many each has."""
+        lots = [self._encode(pieces[i : i + INDEX_PIECES]) for i in range(0, len(pieces), INDEX_PIECES)] or [self._encode([])]
+        return np.concatenate([ids for ids, _ in lots]), np.concatenate([n for _, n in lots])
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [b"" if p in self.v.special else p.encode() for p in pieces]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         # One boundary before each piece and one at the end.
@@ -118,7 +124,7 @@ class PairIndexEncoder:
 
 @functools.lru_cache(maxsize=2)
 def _cache(data: bytes) -> IdCache:
-    return IdCache(vocabulary(data), PairIndexEncoder(vocabulary(data)).encode)
+    return IdCache(vocabulary(data), PairIndexEncoder(vocabulary(data)).encode, CACHE_ENTRIES)
 
 
 def encode_texts(data: bytes, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +151,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", key_co
     data = read_vocabulary(vocabulary_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in cut(batches, 1):
+        for b in cut(batches, 1, CHUNK_BYTES):
             ids, counts = encode_texts(data, b.column(1))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "ids"])
@@ -173,7 +179,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ke
     data = read_vocabulary(vocabulary_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in cut(batches, 1):
+        for b in cut(batches, 1, CHUNK_BYTES):
             ids, counts = encode_texts(data, b.column(1))
             raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
             ids_sha = [hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip([0, *ends], ends, strict=False)]

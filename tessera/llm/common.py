@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         top = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
@@ -39,6 +41,27 @@ def drop_stash(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Most rows (two numbers each) that are broadcast to take rows out.
+MOST_REJECTED = 1_000_000
+
+
+def row_keys(*of: Column) -> list[Column]:
+    """Two 64-bit hashes that name rows by these values, nulls told apart from one another."""
+    values = [x for c in of for x in (c.isNull(), c)]
+    return [F.xxhash64(F.lit(1), *values), F.xxhash64(F.lit(2), *values[::-1])]
+
+
+def without(docs: DataFrame, keys: list[Column], rejected: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` are not in ``rejected`` (__k1, __k2).
+
+    The rejected keys are written and counted: up to MOST_REJECTED they are
+    broadcast and texts stay where they are, beyond that rows are joined by shuffle.
+    """
+    gone = stash(rejected.select("__k1", "__k2").distinct(), "rejected")
+    gone = F.broadcast(gone) if gone.count() <= MOST_REJECTED else gone
+    return docs.join(gone, (keys[0] == F.col("__k1")) & (keys[1] == F.col("__k2")), "left_anti")
+
+
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     """Bytes of text over all rows."""
     return df.agg(F.sum(F.octet_length(text_col))).head()[0] or 0

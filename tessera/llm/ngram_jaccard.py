@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for, stash, text_bytes
+from .common import drop_stash, parts_for, stash, text_bytes
 from .components import components
 from .packed import bounds, squeeze, widen
 from .seekable import batches_of
@@ -48,7 +48,7 @@ from .seekable import batches_of
 K2, N2, SLACK = 1, 3, 2
 BAND_GROWTH = 1.5
 SKETCH = 16
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 2_000_000
 BUCKET_BYTES = 48 << 20
 #: Most classes (three numbers each) that are broadcast to fetch their texts; of more, the texts are shuffled.
 MOST_BROADCAST = 500_000
@@ -312,6 +312,14 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -
     return both.mapInArrow(run, "a long, b long")
 
 
+def _verified(rows: DataFrame, first: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The linked ones of ``pairs``, written; the texts that were fetched for them are deleted again."""
+    texts = _texts(rows, first, pairs, width)
+    links = stash(verify(pairs, texts, width, num, den), "links")
+    drop_stash(texts)
+    return links
+
+
 def linked(docs: DataFrame, width: int, num: int, den: int, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
     """(doc_id, h, n_shingles, least) of every document; least is the (doc_id, h) of its component's first, null for empty sets."""
     rows = docs.select(F.col(f"`{key_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("h", F.xxhash64("text"))
@@ -327,11 +335,13 @@ def linked(docs: DataFrame, width: int, num: int, den: int, text_col: str = "tex
     can = possible(num, den)
     pairs = found.select(F.col("hub").alias("a"), F.col("other").alias("b")).distinct().join(a, "a")
     pairs = stash(pairs.join(b, (pairs["b"] == b["b"]) & can).select("a", b["b"]), "pairs")
-    links = stash(verify(pairs, _texts(rows, first, pairs, width), width, num, den), "links")
+    links = _verified(rows, first, pairs, width, num, den)
     labels = components(links)
     rest = stash(_across(found, labels, a, can).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    for done in (found, nodes, pairs):
+        drop_stash(done)
     if not rest.isEmpty():
-        more = stash(verify(rest, _texts(rows, first, rest, width), width, num, den), "links")
+        more = _verified(rows, first, rest, width, num, den)
         if not more.isEmpty():
             labels = components(links.union(more))
     named = first.join(labels, first["key"] == labels["node"], "left").select("key", "first", F.coalesce("comp", "key").alias("comp"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import row_keys, stash, without
 from .logistic import Sparse, fit, labelled_sample
 
 #: Classes of characters: letters by case, other letters, digits, spaces, line ends; each other ASCII character is its own.
@@ -132,9 +132,11 @@ def apply(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text_c
 def keep(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text_col: str = "text", key_col: str = "doc_id", threshold: float = 0.4, sample: int = 8000) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only.
 
-    Rows are written with their evidence: the posteriors then read its columns only, and no text is scored twice or shuffled.
+    A verdict follows from the text, host and path alone. These are hashed and the
+    hashes written with the evidence, which is scored once; the rows whose hashes are
+    rejected are then taken out.
     """
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+    keys = row_keys(F.col(f"`{text_col}`"), host, path)
     logit = evidence(docs, labels, text_col, key_col, sample)
-    scored = stash(docs.select(row, host.alias("host"), path.alias("path"), logit.alias("logit")), "evidence")
-    return judge(scored, stash(posteriors(scored), "sites"), threshold).filter("kept").select("__row.*")
+    scored = stash(docs.select(keys[0].alias("__k1"), keys[1].alias("__k2"), host.alias("host"), path.alias("path"), logit.alias("logit")), "evidence")
+    return without(docs, keys, judge(scored, stash(posteriors(scored), "sites"), threshold).filter("not kept"))

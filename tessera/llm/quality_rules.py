@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import row_keys, stash, without
 
 #: What separates words, and the characters that count as symbols.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -212,11 +212,10 @@ def apply(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", keys
 def keep(docs: DataFrame, text_col: str = "text", keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only, whatever those are named.
 
-    Rows are written with their metrics: the sketches then read the metrics'
-    columns only, and no text is counted twice or shuffled. (A filter before the
-    write would be pushed below the metrics, which it needs.)
+    A verdict follows from the text, language and source alone. These are hashed and
+    the hashes written with the metrics, which are counted once; the rows whose hashes
+    are rejected are then taken out.
     """
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
-    counted = _shares(metrics(docs, text_col, [row, *_names(keys)]))
-    shares = stash(counted.select("__row", "lang", "source", "base_failed", "symbol_share", *METRICS), "quality")
-    return judge(shares, stash(thresholds(shares), "limits")).filter("kept").select("__row.*")
+    keys_ = row_keys(*(F.col(f"`{c}`") for c in (text_col, *keys)))
+    shares = stash(_shares(metrics(docs, text_col, [keys_[0].alias("__k1"), keys_[1].alias("__k2"), *_names(keys)])), "quality")
+    return without(docs, keys_, judge(shares, stash(thresholds(shares), "limits")).filter("not kept"))
