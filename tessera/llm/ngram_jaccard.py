@@ -10,9 +10,10 @@ signature is the hash of the set's shingles in N2 - K2 of those. Sets with at
 most k differences therefore share a signature: no link is lost.
 
 Signatures that hold no shingle would be shared by unrelated sets. Each tag has
-SLACK more parts than needed, so that at least 1 + SLACK parts hold at most K2
-differences; a set with no more than SLACK parts that have an empty signature leaves
-these out, and a linked set still shares one that isn't empty.
+some parts more than needed, its slack, so that at least 1 + slack parts hold at
+most K2 differences; a set with no more than slack parts that have an empty signature
+leaves these out, and a linked set still shares one that isn't empty. The slack grows
+with the band, as the expected number of such parts does (``slack_of``).
 
 Sets that are equal are one class, which the class's key (a 64-bit hash of the
 set) names. A chunk of a partition keeps one entry for each signature and sends
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,22 +134,34 @@ def _bands(most: int) -> list[tuple[int, int]]:
     return out
 
 
+@functools.cache
+def slack_of(low: int, k: int) -> int:
+    """Parts a tag has beyond k // (K2 + 1) + 1, so that most of its sets, the smallest of size ``low``, can leave out empty signatures."""
+    for slack in range(SLACK, SLACK + k // 4 + 1):
+        parts = k // (K2 + 1) + 1 + slack
+        gaps = parts * N2 * math.exp(-low * (N2 - K2) / (N2 * parts))
+        if gaps + math.sqrt(gaps) <= slack:
+            return slack
+    return SLACK + k // 6
+
+
 def signatures(sets: Sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(signature, class key) of the sets that can link to other sets."""
     first, last = [], []
     bands = _bands(int(sets.sizes.max(initial=0)))
     highs = np.array([h for _, h in bands], np.int64)
+    slacks = np.array([slack_of(low, (den - num) * h // num) for low, h in bands], np.int64)
     band = np.searchsorted(highs, sets.sizes)
     for step in (0, 1):
         tag = band - step
         ok = (sets.sizes > 0) & (tag >= 0)
-        high = highs[np.where(ok, tag, 0)] if len(bands) else np.zeros(len(tag), np.int64)
+        high, slack = (x[np.where(ok, tag, 0)] if len(bands) else np.zeros(len(tag), np.int64) for x in (highs, slacks))
         if step:
             ok &= num * sets.sizes <= den * high
         k = (den - num) * high // num
         # Without differences the sets are equal, and so one class.
         ok &= k > 0
-        parts = np.where(ok, k // (K2 + 1) + 1 + SLACK, 0)
+        parts = np.where(ok, k // (K2 + 1) + 1 + slack, 0)
         slots = parts * N2
         base = np.cumsum(slots) - slots
         use = ok[sets.of]
@@ -164,7 +178,7 @@ def signatures(sets: Sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
         left_out = range(N2)  # K2 is 1: each signature leaves out one of the smaller parts
         empty = np.stack([held.sum(axis=1) - held[:, j] == 0 for j in left_out], axis=1)
         gaps = np.bincount(doc, weights=empty.any(axis=1), minlength=len(parts))
-        skip = (gaps <= SLACK)[doc]
+        skip = (gaps <= slack)[doc]
         where = _mix(place.astype(np.uint64) * np.uint64(N2) + tag[doc].astype(np.uint64) * np.uint64(MIX[2]), 29)
         whole = sums.sum(axis=1, dtype=np.uint64)
         for j in left_out:
@@ -333,12 +347,16 @@ def linked(docs: DataFrame, width: int, num: int, den: int, text_col: str = "tex
     a = nodes.select(F.col("key").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
     b = nodes.select(F.col("key").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
     can = possible(num, den)
-    pairs = found.select(F.col("hub").alias("a"), F.col("other").alias("b")).distinct().join(a, "a")
+    ends = stash(found.select(F.col("hub").alias("a"), F.col("other").alias("b")).distinct(), "ends")
+    pairs = ends.join(a, "a")
     pairs = stash(pairs.join(b, (pairs["b"] == b["b"]) & can).select("a", b["b"]), "pairs")
     links = _verified(rows, first, pairs, width, num, den)
     labels = components(links)
-    rest = stash(_across(found, labels, a, can).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    for done in (found, nodes, pairs):
+    split = _split(found, ends, labels, a)
+    for done in (found, nodes, ends):
+        drop_stash(done)
+    rest = stash(_across(split, can).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    for done in (split, pairs):
         drop_stash(done)
     if not rest.isEmpty():
         more = _verified(rows, first, rest, width, num, den)
@@ -355,24 +373,39 @@ def join(docs: DataFrame, width: int, num: int, den: int, text_col: str = "text"
     return linked(docs, width, num, den, text_col, key_col).select("doc_id", "n_shingles", F.coalesce("least.doc_id", "doc_id").alias("component_id"))
 
 
-def _across(found: DataFrame, labels: DataFrame, nodes: DataFrame, can: Column) -> DataFrame:
-    """Pairs of classes that share a signature, are in different components and can link.
+def _split(found: DataFrame, ends: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sig, a, comp, na, sa): the classes of each signature whose classes are in different components, written.
 
-    Sketches are compared inside the join, so that only pairs that can link leave
-    it. Of signatures with the same classes one is enough.
+    The links (hub, other) of a signature connect all its classes, so one of them
+    crosses components where these differ. The links are few, ``ends``; only the
+    signatures of those that cross are looked at. Of signatures with the same
+    classes one is enough.
     """
-    both = found
-    for c in ("hub", "other"):
+    crossing = ends
+    for c in ("a", "b"):
         comp = labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
-        both = both.join(comp, c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
-    ends = F.array(*(F.struct(F.col(c).alias("a"), F.col(f"{c}_comp").alias("comp")) for c in ("hub", "other")))
-    inside = both.select("sig", F.inline(ends)).distinct()
-    groups_ = inside.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.bit_xor(F.xxhash64("a")).alias("who"), F.bit_xor(F.xxhash64("a", F.lit(1))).alias("too"), F.count(F.lit(1)).alias("n"))
-    split = groups_.filter("least <> most").groupBy("who", "too", "n").agg(F.min("sig").alias("sig")).select("sig")
-    left = inside.join(split, "sig").join(nodes, "a").select("sig", "a", "comp", "na", "sa")
-    left = stash(left, "across")
-    right = left.select("sig", *(F.col(x).alias(y) for x, y in (("a", "b"), ("comp", "b_comp"), ("na", "nb"), ("sa", "sb"))))
-    joined = left.join(right, (left["sig"] == right["sig"]) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("b_comp")) & can)
+        crossing = crossing.join(comp, c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
+    crossing = stash(crossing.filter("a_comp <> b_comp").select(F.col("a").alias("hub"), F.col("b").alias("other")), "crossing")
+    few = crossing.count() <= MOST_BROADCAST
+    sigs = found.join(F.broadcast(crossing) if few else crossing, ["hub", "other"], "left_semi").select("sig").distinct()
+    inside = stash(found.join(sigs, "sig", "left_semi").select("sig", F.explode(F.array("hub", "other")).alias("a")).distinct(), "inside")
+    drop_stash(crossing)
+    who = inside.groupBy("sig").agg(F.bit_xor(F.xxhash64("a")).alias("who"), F.bit_xor(F.xxhash64("a", F.lit(1))).alias("too"), F.count(F.lit(1)).alias("n"))
+    one = who.groupBy("who", "too", "n").agg(F.min("sig").alias("sig")).select("sig")
+    comp = labels.select(F.col("node").alias("a"), "comp")
+    members = inside.join(one, "sig", "left_semi").join(comp, "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+    split = stash(members.join(nodes, "a").select("sig", "a", "comp", "na", "sa"), "split")
+    drop_stash(inside)
+    return split
+
+
+def _across(split: DataFrame, can: Column) -> DataFrame:
+    """Pairs of classes that share a signature, are in different components and can link.
+
+    Sketches are compared inside the join, so that only pairs that can link leave it.
+    """
+    right = split.select("sig", *(F.col(x).alias(y) for x, y in (("a", "b"), ("comp", "b_comp"), ("na", "nb"), ("sa", "sb"))))
+    joined = split.join(right, (split["sig"] == right["sig"]) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("b_comp")) & can)
     return joined.select("a", "b").distinct()
 
 
