@@ -514,6 +514,17 @@ def test_signatures_lose_no_link():
             assert set(sigs[keys == keys[0]].tolist()) & set(sigs[keys != keys[0]].tolist()), (num, n)
 
 
+def test_long_sets_share_no_empty_signature():
+    """Unrelated long texts have no signature in common, so they make no candidates."""
+    rnd = random.Random(10)
+    for num, den in ((90, 100), (80, 100)):
+        texts = [" ".join(f"w{rnd.randrange(10**9)}" for _ in range(rnd.randrange(3000, 8000))) for _ in range(40)]
+        sigs, keys = ngram_jaccard.signatures(ngram_jaccard.Sets(texts, 1), num, den)
+        s, k, (shared, _, _) = ngram_jaccard.star(sigs, keys)
+        assert len(set(keys.tolist())) == len(texts)
+        assert len(shared) < len(s) // 100, (num, len(shared), len(s))
+
+
 def test_jaccard_edges(odd, empty):
     got = ngram_jaccard.join(odd, 3, 90, 100).collect()
     assert len(got) == odd.count() and {r.n_shingles for r in got if r.doc_id in (0, 1, 2)} == {0}
