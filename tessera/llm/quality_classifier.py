@@ -129,14 +129,17 @@ def apply(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text_c
     return judge(scored, stash(posteriors(scored), "sites"), threshold).select("doc_id", "host", "path", "logit", "site_posterior", "posterior", "kept")
 
 
-def keep(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text_col: str = "text", key_col: str = "doc_id", threshold: float = 0.4, sample: int = 8000) -> DataFrame:
+def keep(
+    docs: DataFrame, labels: DataFrame, host: Column, path: Column, text_col: str = "text", key_col: str = "doc_id", threshold: float = 0.4, sample: int = 8000, learn_from: DataFrame | None = None
+) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only.
 
-    A verdict follows from the text, host and path alone. These are hashed and the
+    The labelled sample is drawn from ``learn_from`` (the same two columns), else from ``docs``:
+    documents that an earlier filter has left hold too few bad ones to learn from. A verdict follows from the text, host and path alone. These are hashed and the
     hashes written with the evidence, which is scored once; the rows whose hashes are
     rejected are then taken out.
     """
     keys = row_keys(F.col(f"`{text_col}`"), host, path)
-    logit = evidence(docs, labels, text_col, key_col, sample)
+    logit = evidence(docs if learn_from is None else learn_from, labels, text_col, key_col, sample)
     scored = stash(docs.select(keys[0].alias("__k1"), keys[1].alias("__k2"), host.alias("host"), path.alias("path"), logit.alias("logit")), "evidence")
     return without(docs, keys, judge(scored, stash(posteriors(scored), "sites"), threshold).filter("not kept"))
