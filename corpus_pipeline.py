@@ -19,9 +19,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior says good."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_classifier.keep(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+    """Documents whose posterior says good.
+
+    The evidence is learned from labelled rows of the whole table, as the rules have left
+    next to no bad documents to learn from; the sites' posteriors are those of ``docs``.
+    """
+    whole, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    return quality_classifier.keep(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"), learn_from=whole)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
