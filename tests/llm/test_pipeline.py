@@ -5,6 +5,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_operators import brute_components, brute_hits, brute_metrics, library
 
 import corpus_pipeline
@@ -49,6 +50,21 @@ def test_classifier_keeps_good_documents(spark, steps):
     assert len(good & set(ids(kept))) >= 0.98 * len(good)
 
 
+def test_classifier_out_of_sample(spark, tmp_path):
+    """Learns from labels of even ids; odd ids are judged, of which bad ones are many, then two, as after the rules."""
+    whole, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    whole.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.filter("doc_id % 2 = 0").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = dict(corpus_pipeline.STAGES)["quality_classifier"]
+    odd = {r.doc_id: r.quality for r in labels.filter("doc_id % 2 = 1").collect()}
+    bad, good = ({i for i in ids(whole) if odd.get(i) == q} for q in (0, 1))
+    for few in (sorted(bad), sorted(bad)[:2]):
+        given = whole.filter(F.col("doc_id").isin([*few, *good]))
+        kept = set(ids(stage(spark, given, str(tmp_path))))
+        assert len(few) > 1 and len(kept & set(few)) <= 0.1 * len(few)
+        assert len(kept & good) >= 0.98 * len(good)
+
+
 def test_one_of_each_group(steps):
     given, kept = steps["ngram_jaccard"]
     rows = [(r.doc_id, r.text) for r in given.collect()]
