@@ -6,6 +6,9 @@ all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +16,34 @@ from tessera.llm import bpe, decontamination, ngram_jaccard, quality_classifier,
 from tessera.llm.common import stash
 
 
+#: Bytes and rows that go to a Python worker at once. By default a batch is 10,000 rows, some 40 MB of
+#: text that the executor and its workers each hold more than once, beside what earlier stages left in their memory.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` with BATCHES in all the jobs that it runs; its result has to need no Python workers any more."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        before = {k: spark.conf.get(k) for k in BATCHES}
+        try:
+            for k, v in BATCHES.items():
+                spark.conf.set(k, v)
+            return stage(spark, docs, sf_dir)
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+
+    return run
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the adaptive limits of their language and source."""
     return quality_rules.keep(docs)
 
 
+@in_small_batches
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior says good.
 
@@ -28,6 +54,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.keep(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"), learn_from=whole)
 
 
+@in_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 0.8 of its five-word shingles."""
     return ngram_jaccard.keep_one(docs, width=5, num=80, den=100)
@@ -38,11 +65,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontamination.keep(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@in_small_batches
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
     import public_tokenizers
 
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return stash(bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")), "encoded")
 
 
 STAGES = [

@@ -4,6 +4,7 @@ import collections
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import brute_components, brute_hits, brute_metrics, library
@@ -88,3 +89,28 @@ def test_encoding_stage(steps):
 
 def test_run(spark, steps):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, steps["bpe"][1].collect()))
+
+
+@pytest.mark.parametrize(
+    ("stage", "module", "method"),
+    [("quality_classifier", "quality_classifier", "keep"), ("ngram_jaccard", "ngram_jaccard", "keep_one"), ("bpe", "bpe", "round_trip")],
+)
+def test_batches_to_python_workers(spark, monkeypatch, stage, module, method):
+    """What a stage sends to a Python worker at once has a bound of bytes; the session's setting stays."""
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1500).alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]}, pa.schema([("rows", pa.int64()), ("bytes", pa.int64())]))
+
+    def measured(docs, *_, **__):
+        out = docs.mapInArrow(sizes, "rows long, bytes long")
+        return out if method == "round_trip" else stash(out, "sizes")
+
+    monkeypatch.setattr(getattr(corpus_pipeline, module), method, measured)
+    settings = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(k) for k in settings]
+    seen = dict(corpus_pipeline.STAGES)[stage](spark, docs, SF).collect()
+    assert sum(r.rows for r in seen) == 4000
+    assert max(r.bytes for r in seen) < 5_000_000
+    assert [spark.conf.get(k) for k in settings] == before
