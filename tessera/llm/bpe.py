@@ -14,6 +14,7 @@ rows, ties and extra columns change nothing; an empty table gives an empty table
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
 import heapq
@@ -132,6 +133,18 @@ def encode_texts(data: bytes, texts: list[str | None] | pa.Array) -> tuple[np.nd
     return _cache(data).encode(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
 
 
+def give_back() -> None:
+    """Forget what was learnt and return free memory to the system.
+
+    A worker outlives its task: other operators' tasks run in it beside what is kept here. A partition
+    fills the cache about once, so that the next one has little use for it.
+    """
+    _cache.cache_clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 @functools.lru_cache(maxsize=2)
 def _token_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tokens = vocabulary(data).token_bytes
@@ -185,6 +198,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ke
             ids_sha = [hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip([0, *ends], ends, strict=False)]
             text_sha = [hashlib.sha256(t.encode()).hexdigest() for t in decode_ids(data, ids, counts)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        give_back()
 
     kind = docs.schema[key_col].dataType.simpleString()
     out = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"

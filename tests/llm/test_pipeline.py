@@ -114,3 +114,17 @@ def test_batches_to_python_workers(spark, monkeypatch, stage, module, method):
     assert sum(r.rows for r in seen) == 4000
     assert max(r.bytes for r in seen) < 5_000_000
     assert [spark.conf.get(k) for k in settings] == before
+
+
+def test_encoding_leaves_no_cache(spark):
+    """Workers that encoded texts hold no cache when other tasks run in them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(8)
+    dict(corpus_pipeline.STAGES)["bpe"](spark, docs, SF).collect()
+
+    def held(batches):
+        from tessera.llm import bpe
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [bpe._cache.cache_info().currsize]}, pa.schema([("n", pa.int64())]))
+
+    assert {r.n for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()} == {0}
