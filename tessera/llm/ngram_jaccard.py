@@ -20,8 +20,11 @@ set) names. A chunk of a partition keeps one entry for each signature and sends
 the others' links to that one, packed in binary values by bucket; a bucket does
 the same over all chunks. So a signature has at most one entry a chunk, and a
 group of m classes makes m - 1 candidate pairs, not all. Candidates are verified
-on the whole texts. Where a group's classes are then not in one component, all of
-its pairs across components are verified too, which makes the join exact.
+on the whole texts. Where a group's classes are then not in one component, the group
+gets another hub, the class that shares the most with others, as the smallest one may
+lie at the group's edge; this is done again while it finds links, HUB_ROUNDS times at most.
+All pairs of a group that are then still across components are verified too, each
+once and not once a signature, which makes the join exact whatever the hubs were.
 
 Defined results: a text without words has an empty set and no link; with fewer
 words than a shingle, the whole sequence is the one shingle; repeated rows and equal texts
@@ -54,6 +57,8 @@ CHUNK_CHARS = 2_000_000
 BUCKET_BYTES = 48 << 20
 #: Most classes (three numbers each) that are broadcast to fetch their texts; of more, the texts are shuffled.
 MOST_BROADCAST = 500_000
+#: Rounds of central hubs before the pairs that are left are looked at, and signatures by which a class tells where its pairs are met first.
+HUB_ROUNDS, LOWEST = 3, 6
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -212,11 +217,12 @@ def _lists(sketches: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(sketches) + 1, SKETCH), pa.int32()), pa.array(sketches))
 
 
-def possible(num: int, den: int) -> Column:
+def possible(num: int, den: int, names: tuple[str, str, str, str] = ("na", "nb", "sa", "sb")) -> Column:
     """Whether sets of (na, sa) and (nb, sb), sizes and sketches, can link: never false for those that do."""
-    bits = functools.reduce(lambda a, b: a + b, (F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH)))
-    sizes = (den * F.col("na") >= num * F.col("nb")) & (den * F.col("nb") >= num * F.col("na"))
-    return sizes & (bits * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
+    na, nb, sa, sb = (F.col(x) for x in names)
+    bits = functools.reduce(lambda a, b: a + b, (F.bit_count(sa[i].bitwiseXOR(sb[i])) for i in range(SKETCH)))
+    sizes = (den * na >= num * nb) & (den * nb >= num * na)
+    return sizes & (bits * (den + num) <= (na + nb) * (den - num))
 
 
 def classes(docs: DataFrame, width: int) -> DataFrame:
@@ -352,16 +358,29 @@ def linked(docs: DataFrame, width: int, num: int, den: int, text_col: str = "tex
     pairs = stash(pairs.join(b, (pairs["b"] == b["b"]) & can).select("a", b["b"]), "pairs")
     links = _verified(rows, first, pairs, width, num, den)
     labels = components(links)
-    split = _split(found, ends, labels, a)
-    for done in (found, nodes, ends):
+    inside = _inside(found, ends, labels)
+    for done in (found, ends):
         drop_stash(done)
-    rest = stash(_across(split, can).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    for done in (split, pairs):
+    ranks = stash(_ranks(inside), "ranks")
+    hubs = None
+    for _ in range(HUB_ROUNDS):
+        chosen = _hubs(inside, ranks, labels, hubs)
+        hubs = chosen.select("hub") if hubs is None else hubs.union(chosen.select("hub"))
+        near = _to_hubs(inside, chosen, labels, a, b, can).join(pairs, ["a", "b"], "left_anti")
+        near = stash(near, "pairs")
+        more = _verified(rows, first, near, width, num, den)
+        pairs = pairs.union(near)
+        if more.isEmpty():
+            break
+        labels = components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
+    split = _split(inside, ranks, labels, a)
+    rest = stash(_across(split, num, den).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    for done in (nodes, inside, ranks, split, pairs):
         drop_stash(done)
     if not rest.isEmpty():
         more = _verified(rows, first, rest, width, num, den)
         if not more.isEmpty():
-            labels = components(links.union(more))
+            labels = components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
     named = first.join(labels, first["key"] == labels["node"], "left").select("key", "first", F.coalesce("comp", "key").alias("comp"))
     least = named.groupBy("comp").agg(F.min("first").alias("least"))
     of_class = named.join(least, "comp").select(F.col("key").alias("__key"), "least")
@@ -373,8 +392,12 @@ def join(docs: DataFrame, width: int, num: int, den: int, text_col: str = "text"
     return linked(docs, width, num, den, text_col, key_col).select("doc_id", "n_shingles", F.coalesce("least.doc_id", "doc_id").alias("component_id"))
 
 
-def _split(found: DataFrame, ends: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(sig, a, comp, na, sa): the classes of each signature whose classes are in different components, written.
+def _comps(labels: DataFrame, node: str, comp: str) -> DataFrame:
+    return labels.select(F.col("node").alias(node), F.col("comp").alias(comp))
+
+
+def _inside(found: DataFrame, ends: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, a): the classes of each signature whose classes are in different components, written.
 
     The links (hub, other) of a signature connect all its classes, so one of them
     crosses components where these differ. The links are few, ``ends``; only the
@@ -383,30 +406,74 @@ def _split(found: DataFrame, ends: DataFrame, labels: DataFrame, nodes: DataFram
     """
     crossing = ends
     for c in ("a", "b"):
-        comp = labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
-        crossing = crossing.join(comp, c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
+        crossing = crossing.join(_comps(labels, c, f"{c}_comp"), c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
     crossing = stash(crossing.filter("a_comp <> b_comp").select(F.col("a").alias("hub"), F.col("b").alias("other")), "crossing")
     few = crossing.count() <= MOST_BROADCAST
     sigs = found.join(F.broadcast(crossing) if few else crossing, ["hub", "other"], "left_semi").select("sig").distinct()
-    inside = stash(found.join(sigs, "sig", "left_semi").select("sig", F.explode(F.array("hub", "other")).alias("a")).distinct(), "inside")
+    every = stash(found.join(sigs, "sig", "left_semi").select("sig", F.explode(F.array("hub", "other")).alias("a")).distinct(), "every")
     drop_stash(crossing)
-    who = inside.groupBy("sig").agg(F.bit_xor(F.xxhash64("a")).alias("who"), F.bit_xor(F.xxhash64("a", F.lit(1))).alias("too"), F.count(F.lit(1)).alias("n"))
+    who = every.groupBy("sig").agg(F.bit_xor(F.xxhash64("a")).alias("who"), F.bit_xor(F.xxhash64("a", F.lit(1))).alias("too"), F.count(F.lit(1)).alias("n"))
     one = who.groupBy("who", "too", "n").agg(F.min("sig").alias("sig")).select("sig")
-    comp = labels.select(F.col("node").alias("a"), "comp")
-    members = inside.join(one, "sig", "left_semi").join(comp, "a", "left").withColumn("comp", F.coalesce("comp", "a"))
-    split = stash(members.join(nodes, "a").select("sig", "a", "comp", "na", "sa"), "split")
-    drop_stash(inside)
-    return split
+    inside = stash(every.join(one, "sig", "left_semi"), "inside")
+    drop_stash(every)
+    return inside
+
+
+def _ranks(inside: DataFrame) -> DataFrame:
+    """(a, weight, lowest): how many classes share signatures with a class, each counted as often as it does, and its LOWEST smallest signatures."""
+    n = inside.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    lowest = F.slice(F.array_sort(F.collect_list("sig")), 1, LOWEST)
+    return inside.join(n, "sig").groupBy("a").agg(F.sum("n").alias("weight"), lowest.alias("lowest"))
 
 
-def _across(split: DataFrame, can: Column) -> DataFrame:
-    """Pairs of classes that share a signature, are in different components and can link.
+def _hubs(inside: DataFrame, ranks: DataFrame, labels: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(sig, hub, hub_comp) of the signatures whose classes are in different components, written.
 
-    Sketches are compared inside the join, so that only pairs that can link leave it.
+    A hub is the class of most weight, of a component that had no hub ``before`` if there is one.
     """
-    right = split.select("sig", *(F.col(x).alias(y) for x, y in (("a", "b"), ("comp", "b_comp"), ("na", "nb"), ("sa", "sb"))))
-    joined = split.join(right, (split["sig"] == right["sig"]) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("b_comp")) & can)
-    return joined.select("a", "b").distinct()
+    who = ranks.join(_comps(labels, "a", "comp"), "a", "left").select("a", "weight", F.coalesce("comp", "a").alias("comp"), F.lit(True).alias("fresh"))
+    if before is not None:
+        had = who.join(before, F.col("a") == F.col("hub"), "left_semi").select("comp", F.lit(True).alias("had")).distinct()
+        who = who.join(had, "comp", "left").select("a", "weight", "comp", F.col("had").isNull().alias("fresh"))
+    most = F.max_by(F.struct("a", "comp"), F.struct("fresh", "weight", "a")).alias("hub")
+    chosen = inside.join(who, "a").groupBy("sig").agg(most, F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return stash(chosen.filter("low <> high").select("sig", F.col("hub.a").alias("hub"), F.col("hub.comp").alias("hub_comp")), "hubs")
+
+
+def _to_hubs(inside: DataFrame, hubs: DataFrame, labels: DataFrame, left: DataFrame, right: DataFrame, can: Column) -> DataFrame:
+    """(a, b): the classes of a signature that are in another component than its hub and can link to it, with the hub; written."""
+    ends = inside.join(hubs, "sig").select("a", "hub", "hub_comp").distinct()
+    ends = ends.join(_comps(labels, "a", "comp"), "a", "left").filter(F.coalesce("comp", "a") != F.col("hub_comp"))
+    ends = ends.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")).distinct()
+    both = ends.join(left, "a")
+    return stash(both.join(right, (both["b"] == right["b"]) & can).select("a", right["b"]), "to_hubs")
+
+
+def _split(inside: DataFrame, ranks: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sig, a, comp, na, sa, lowest): the classes of the signatures whose classes still are in different components, written."""
+    who = ranks.join(_comps(labels, "a", "comp"), "a", "left").select("a", F.coalesce("comp", "a").alias("comp"), "lowest")
+    apart = inside.join(who.select("a", "comp"), "a").groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("sig")
+    return stash(inside.join(apart, "sig", "left_semi").join(who.join(nodes, "a"), "a").select("sig", "a", "comp", "na", "sa", "lowest"), "split")
+
+
+def _met(split: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b), seldom twice: classes that share a signature, are in different components and can link.
+
+    Sketches are compared inside the join, so that only pairs that can link leave it;
+    and these leave it only where no smaller signature is known to hold both. The
+    smallest one that holds both is never passed over, so no pair is lost. Both sides
+    are the same rows, shuffled once and merged: to broadcast them would leave a large group to few tasks.
+    """
+    can = possible(num, den, ("l.na", "r.na", "l.sa", "r.sa"))
+    least = F.coalesce(F.array_min(F.array_intersect("l.lowest", "r.lowest")) >= F.col("l.sig"), F.lit(True))
+    apart = (F.col("l.a") < F.col("r.a")) & (F.col("l.comp") != F.col("r.comp"))
+    joined = split.alias("l").join(split.alias("r").hint("merge"), (F.col("l.sig") == F.col("r.sig")) & apart & can & least)
+    return joined.select(F.col("l.a").alias("a"), F.col("r.a").alias("b"))
+
+
+def _across(split: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of classes that share a signature, are in different components and can link."""
+    return _met(split, num, den).distinct()
 
 
 def _texts(rows: DataFrame, first: DataFrame, pairs: DataFrame, width: int) -> DataFrame:

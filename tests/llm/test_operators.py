@@ -574,6 +574,57 @@ def test_jaccard_of_many_revisions(spark):
     assert sorted(map(tuple, got)) == [(i, 58, 0) for i in range(400)]
 
 
+def test_jaccard_of_one_large_group(spark, monkeypatch):
+    """Near copies of one text, of which the smallest classes lie at the edge: pairs to verify grow with the group, not with its square."""
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+
+    def copy(edits):
+        words = list(base)
+        for k in rnd.sample(range(150), edits):
+            words[k] = f"e{rnd.randrange(10**9)}"
+        return " ".join(words)
+
+    def keyed(n, edits):
+        texts = [copy(edits) for _ in range(n)]
+        return [t for _, t in sorted(zip(ngram_jaccard.Sets(texts, 5).keys.tolist(), texts, strict=True))]
+
+    far = keyed(1200, 4)
+    limit = int(ngram_jaccard.Sets(far, 5).keys[60])
+    near = [t for t in keyed(200, 1) if int(ngram_jaccard.Sets([t], 5).keys[0]) > limit]
+    texts = far[:60] + near
+    rows = list(enumerate(texts))
+    seen, met = [], []
+    verify, across = ngram_jaccard.verify, ngram_jaccard._across
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return verify(pairs, *rest)
+
+    def counted_across(*given):
+        out = across(*given)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "verify", counted)
+    monkeypatch.setattr(ngram_jaccard, "_across", counted_across)
+    got = collections.Counter(map(tuple, ngram_jaccard.join(docs(spark, rows).coalesce(1), 5, 80, 100).collect()))
+    assert got == collections.Counter(brute_components(rows, 5, 80, 100))
+    assert max(collections.Counter(c for _, _, c in got).values()) >= len(near) > 100
+    assert sum(seen) < 5 * len(texts) and sum(met) < 5 * len(texts)
+
+
+def test_pairs_across_components_meet_about_once(spark):
+    """Pairs of classes that share many signatures come out of the join a few times, none is lost."""
+    rnd = random.Random(13)
+    rows = [(sig, a, a, 100, [0] * ngram_jaccard.SKETCH) for sig in range(60) for a in range(1, 21) if rnd.random() < 0.8]
+    inside = spark.createDataFrame(rows, "sig long, a long, comp long, na long, sa array<long>")
+    split = inside.join(ngram_jaccard._ranks(inside.select("sig", "a")).select("a", "lowest"), "a")
+    pairs = [tuple(r) for r in ngram_jaccard._met(split, 80, 100).collect()]
+    assert set(pairs) == {(a, b) for a in range(1, 21) for b in range(a + 1, 21)}
+    assert len(pairs) < 3 * len(set(pairs))
+
+
 # --- 9 -------------------------------------------------------------------------------
 
 
