@@ -25,11 +25,13 @@ from ..functions.intervals import SECOND, Interval, add
 from ..plans import planner as P
 from ..sources.registry import ARCHIVED, ATTACHED, DETACHED, SUB_FIELDS, Child, Config, Conflict, PartitionSet, Registry, State
 from ..sources.store import Store
-from .routing import EPOCHS, as_time, grid_index, micros, route_by_bounds, whole
+from .routing import EPOCHS, MOST_BROADCAST_CHILDREN, as_time, grid_index, micros, route_by_bounds, whole
 
 CHILD = "__child"
 #: How often an insert is tried while other writers commit.
 INSERT_TRIES = 20
+#: Most ranges that a filter holds; of more, rows are looked up by their cells.
+MOST_RANGES = 16
 #: The privileges of a table, and interval words that are refused.
 PRIVILEGES = ["DELETE", "INSERT", "REFERENCES", "SELECT", "TRIGGER", "TRUNCATE", "UPDATE"]
 OLD_INTERVAL_WORDS = {"yearly", "quarterly", "monthly", "weekly", "daily", "hourly", "half-hour", "quarter-hour"}
@@ -596,15 +598,9 @@ class PartitionManager:
             spans = self._spans(s, rows, batch_count, batch_interval, order)
             if not spans:
                 return 0
-            for lo, hi in spans:
-                self._make(draft, s, [P.cell_of(s, lo)[0]])
-            lo, hi = min(a for a, _ in spans), max(b for _, b in spans)
-            value = self._value(s) if s.kind == "time" else F.floor(self._value(s)).cast("bigint")
-            inside = functools.reduce(lambda a, b: a | b, ((value >= F.lit(a)) & (value < F.lit(b)) for a, b in _merged(spans)))
-            inside = F.coalesce(inside, F.lit(False))
-            moved = self._conform(rows.filter(inside), self._schema(s), ignored_columns)
-            written = self._write_routed(self.route(parent, moved, draft))
-            left = rows.filter(~inside)
+            self._make(draft, s, [lo for lo, _ in P.cells_of(s, [lo for lo, _ in spans])])
+            inside, left = self._cut(s, rows, spans)
+            written = self._write_routed(self.route(parent, self._conform(inside, self._schema(s), ignored_columns), draft))
             source.data = [] if left.limit(1).count() == 0 else self._write(left)
             self._append(draft, parent, written)
             n = self._read([f for fs in written.values() for f in fs], self._schema(s)).count()
@@ -615,6 +611,26 @@ class PartitionManager:
                 time.sleep(lock_wait / 5)
         return -1
 
+    def _cut(self, s: PartitionSet, rows: DataFrame, spans: list[tuple]) -> tuple[DataFrame, DataFrame]:
+        """The rows whose control is within the half-open ``spans``, and the others.
+
+        A filter of many ranges is too deep for a plan and is gone through for each row; then
+        the ranges are joined by the numbers of the cells they lie in.
+        """
+        value = self._value(s) if s.kind == "time" else F.floor(self._value(s)).cast("bigint")
+        ranges = _merged(spans)
+        if len(ranges) <= MOST_RANGES:
+            inside = functools.reduce(lambda a, b: a | b, ((value >= F.lit(a)) & (value < F.lit(b)) for a, b in ranges))
+            inside = F.coalesce(inside, F.lit(False))
+            return rows.filter(inside), rows.filter(~inside)
+        g = P.grid_of(s)
+        table = [(k, lo, hi) for lo, hi in spans for k in range(g.index(lo), g.index(hi) + (g.lo(g.index(hi)) < hi))]
+        cells = self.spark.createDataFrame(table, f"__cell bigint, __lo {self._bound_type(s)}, __hi {self._bound_type(s)}")
+        cells = F.broadcast(cells) if len(table) <= MOST_BROADCAST_CHILDREN else cells
+        at = grid_index(F.col(f"`{s.config.control}`"), g, s.config.epoch)
+        on = (at == F.col("__cell")) & (value >= F.col("__lo")) & (value < F.col("__hi"))
+        return rows.join(cells, on, "left_semi"), rows.join(cells, on, "left_anti")
+
     def _conform(self, df: DataFrame, schema: T.StructType, ignored: list[str] | None) -> DataFrame:
         """Columns of ``schema`` in order; ignored ones are left to the target's generated values or null."""
         cols = []
@@ -640,7 +656,7 @@ class PartitionManager:
             g = P.grid_of(s)
             cell = grid_index(F.col(f"`{s.config.control}`"), g, s.config.epoch).alias("cell")
             first = rows.select(cell).filter("cell is not null").distinct().orderBy(F.asc("cell") if order == "ASC" else F.desc("cell")).limit(batches)
-            return [P.cell_of(s, g.lo(r[0])) for r in first.collect()]
+            return P.cells_of(s, [g.lo(r[0]) for r in first.collect()])
         top = (lambda x, n: add(x, step, n)) if s.kind == "time" else (lambda x, n: x + n * step)
         for _ in range(batches):
             at = v.filter(F.col("v") >= F.lit(out[-1][1])) if out and order == "ASC" else v.filter(F.col("v") < F.lit(out[-1][0])) if out else v

@@ -303,3 +303,27 @@ def test_sql_table_function(spark, m):
     m.create_parent("p.f", "col3", "1 day", TIME)
     m.register_sql()
     assert [r[1] for r in spark.sql("select * from show_partitions('p.f')").collect()] == [t.split(".")[1] for t in m.children("p.f")]
+
+
+def test_rows_of_many_separate_cells_move_at_once(m, spark):
+    rows = spark.range(0, 50_000, 20, numPartitions=4).select(F.col("id").alias("k"))
+    rows = rows.union(spark.createDataFrame([(7,), (None,), (49_985,)], "k bigint"))
+    m.create_parent("t.many", "k", "10", rows.schema, start_partition=0, premake=1, df=rows)
+    assert m.partition_data_proc("t.many") == 2_499 + 1
+    assert m.read_child("t.many_p40").collect() == [(40,)]
+    assert sorted(m.read_child("t.many_p49980").collect()) == [(49_980,), (49_985,)]
+    assert m.read_child("t.many_default").collect() == [(None,)]
+    got = m.route("t.many", m.scan("t.many")).groupBy("__child").count()
+    assert got.count() == 2_501 and got.agg(F.sum("count")).head()[0] == 2_503
+
+
+def test_rows_between_cells_stay_in_a_source(m, spark):
+    """Ranges that are no whole cells, more of them than a filter holds."""
+    m.create_parent("t.some", "k", "10", spark.range(1).select(F.col("id").alias("k")).schema, start_partition=0, premake=1)
+    s = m.state.sets["t.some"]
+    spans = [(30 * i + 5, 30 * i + 18) for i in range(40)]
+    rows = spark.createDataFrame([(x,) for x in [*range(1_300), None]], "k bigint")
+    inside, left = m._cut(s, rows, spans)
+    wanted = {x for a, b in spans for x in range(a, b)}
+    assert sorted(r[0] for r in inside.collect()) == sorted(wanted)
+    assert {r[0] for r in left.collect()} == set(range(1_300)) - wanted | {None} and left.count() == 1_301 - len(wanted)
