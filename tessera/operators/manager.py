@@ -30,6 +30,8 @@ from .routing import EPOCHS, MOST_BROADCAST_CHILDREN, as_time, grid_index, micro
 CHILD = "__child"
 #: How often an insert is tried while other writers commit.
 INSERT_TRIES = 20
+#: About how many bytes of rows a task sorts when it writes them by child, and into how many units that are dealt out such a share is cut.
+TASK_BYTES, UNITS = 32 << 20, 4
 #: Most ranges that a filter holds; of more, rows are looked up by their cells.
 MOST_RANGES = 16
 #: The privileges of a table, and interval words that are refused.
@@ -252,10 +254,35 @@ class PartitionManager:
         df.write.parquet(path)
         return [path]
 
-    def _write_routed(self, df: DataFrame) -> dict[str, list[str]]:
-        """Write rows by ``__child``; folder of each child."""
-        name = f"data/{uuid.uuid4().hex}"
-        df.hint("rebalance", CHILD).write.partitionBy(CHILD).parquet(f"{self.root}/{name}")
+    def _sizes(self, routed: DataFrame) -> dict[str | None, tuple[int, int]]:
+        """Rows of each child and about how many bytes they are in a sort."""
+        size = F.lit(64 + 8 * len(routed.columns)).cast("bigint")
+        for f in routed.schema:
+            c = F.col(f"`{f.name}`")
+            if isinstance(f.dataType, (T.StringType, T.CharType, T.VarcharType, T.BinaryType)):
+                size += F.coalesce(F.octet_length(c), F.lit(0))
+            elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+                size += F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        return {r[0]: (r[1], r[2]) for r in routed.groupBy(CHILD).agg(F.count(F.lit(1)), F.sum(size)).collect()}
+
+    def _write_routed(self, df: DataFrame, sizes: dict[str | None, tuple[int, int]]) -> dict[str, list[str]]:
+        """Write rows by ``__child``, ``sizes`` of which are known; folder of each child.
+
+        A task sorts its rows by child, so they are dealt out by their bytes in the sort: the
+        rows of a large child to many tasks, and many small children to one. The compressed
+        bytes by which Spark would cut say little of that.
+        """
+        name, unit = f"data/{uuid.uuid4().hex}", TASK_BYTES // UNITS
+        n = max(1, -(-sum(b for _, b in sizes.values()) // TASK_BYTES), min(len(sizes), self.spark.sparkContext.defaultParallelism))
+        part = F.lit(0)
+        if large := [(c, -(-b // unit)) for c, (_, b) in sizes.items() if b > unit]:
+            units = self.spark.createDataFrame(large, "__large string, __units bigint")
+            # The row and where it was read decide, so that a task that is run again deals out alike; equal rows are spread too.
+            plain = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+            df = df.join(F.broadcast(units) if len(large) <= MOST_BROADCAST_CHILDREN else units, F.col(CHILD) == F.col("__large"), "left")
+            part = F.coalesce(F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.col("__units")), F.lit(0))
+        dealt = df.withColumn("__part", part).repartition(n, CHILD, "__part").drop("__part", "__large", "__units")
+        dealt.write.partitionBy(CHILD).parquet(f"{self.root}/{name}")
         # Spark writes some characters of a folder's name as %XX.
         found = {unquote(n.removeprefix(f"{CHILD}=")): n for n in self.store.list(name) if n.startswith(f"{CHILD}=")}
         return {child: [f"{self.root}/{name}/{n}"] for child, n in found.items()}
@@ -279,9 +306,10 @@ class PartitionManager:
                 self._discard(written)
                 schema = self._schema(self._set(parent, draft))
                 routed = self.route(parent, df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema)), draft)
-                if routed.filter(F.col(CHILD).isNull()).limit(1).count():
+                sizes = self._sizes(routed)
+                if None in sizes:
                     raise ValueError(f"rows of {parent} have no child and there is no default")
-                written, leaves = self._write_routed(routed), now
+                written, leaves = self._write_routed(routed, sizes), now
             self._append(draft, parent, written)
             if mark is not None:
                 draft.log.append({"job_id": len(draft.log) + 1, "step": "stream", "table": parent, "status": "OK", "message": mark, "at": self.now()})
@@ -437,8 +465,8 @@ class PartitionManager:
             c.data = []
             self._make_sub(draft, s, c)
         if folders:
-            rows = self._read(folders, self._schema(s))
-            self._append(draft, top_parent, self._write_routed(self.route(top_parent, rows, draft)))
+            routed = self.route(top_parent, self._read(folders, self._schema(s)), draft)
+            self._append(draft, top_parent, self._write_routed(routed, self._sizes(routed)))
         self._commit(draft)
         return True
 
@@ -600,13 +628,14 @@ class PartitionManager:
                 return 0
             self._make(draft, s, [lo for lo, _ in P.cells_of(s, [lo for lo, _ in spans])])
             inside, left = self._cut(s, rows, spans)
-            written = self._write_routed(self.route(parent, self._conform(inside, self._schema(s), ignored_columns), draft))
+            routed = self.route(parent, self._conform(inside, self._schema(s), ignored_columns), draft)
+            sizes = self._sizes(routed)
+            written = self._write_routed(routed, sizes)
             source.data = [] if left.limit(1).count() == 0 else self._write(left)
             self._append(draft, parent, written)
-            n = self._read([f for fs in written.values() for f in fs], self._schema(s)).count()
             try:
                 self._commit(draft)
-                return n
+                return sum(n for n, _ in sizes.values())
             except Conflict:
                 time.sleep(lock_wait / 5)
         return -1

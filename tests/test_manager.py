@@ -327,3 +327,14 @@ def test_rows_between_cells_stay_in_a_source(m, spark):
     wanted = {x for a, b in spans for x in range(a, b)}
     assert sorted(r[0] for r in inside.collect()) == sorted(wanted)
     assert {r[0] for r in left.collect()} == set(range(1_300)) - wanted | {None} and left.count() == 1_301 - len(wanted)
+
+
+@pytest.mark.parametrize("value", ["id", "7"])
+def test_large_child_is_written_by_many_tasks(m, spark, value):
+    """Rows that compress well: by compressed bytes one task would sort all of them."""
+    rows = spark.range(0, 1_600_000, 1, numPartitions=8).select(F.expr(f"cast({value} as bigint)").alias("k"))
+    m.create_parent("t.large", "k", "1000000000", rows.schema, start_partition=0, premake=1, df=rows)
+    files = m.read_child("t.large_p0").groupBy(F.input_file_name()).count()
+    assert files.agg(F.sum("count")).head()[0] == 1_600_000
+    assert files.agg(F.max("count")).head()[0] <= 800_000
+    assert m.read_child("t.large_p0").agg(F.countDistinct("k")).head()[0] == (1_600_000 if value == "id" else 1)
